@@ -1,0 +1 @@
+"""Empty on purpose: all inputs are static files, there is no streaming operator to offer."""
