@@ -21,8 +21,11 @@ def finite_columns(df: DataFrame) -> DataFrame:
 
 
 def to_number(col: Column) -> Column:
-    """Text to double, bad text and non-finite text to NULL."""
-    return finite(col.try_cast("double"))
+    """Text to double, bad text and non-finite text to NULL.
+
+    A type suffix (``1d``, ``1f``) is not a number here although the cast would accept it.
+    """
+    return F.when(~col.rlike("[dDfF]\\s*$"), finite(col.try_cast("double")))
 
 
 def half_even(col: Column, digits: int) -> Column:

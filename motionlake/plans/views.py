@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,7 @@ _MEASURE_IDS = {
     "test_ts": "l_shipdate",
     "limb": _SIDE,
 }
+_ORDER_IDS = _MEASURE_IDS | {"entity": "l_orderkey"}
 
 
 def _projection(columns: dict[str, str]) -> list[str]:
@@ -76,14 +78,19 @@ class Tables:
     @cached_property
     def measures(self) -> DataFrame:
         """Eight measured values per test, as a long table."""
+        return self._measures(_MEASURE_IDS)
+
+    @cached_property
+    def measures_orders(self) -> DataFrame:
+        """The same values with the order as entity: many entities, some without a value for a metric."""
+        return self._measures(_ORDER_IDS)
+
+    def _measures(self, ids: dict[str, str]) -> DataFrame:
         parts = [
             f"struct('{header.rsplit(' [', 1)[0]}' as metric, cast({expression} as double) as value)"
             for header, expression in METRICS.items()
         ]
-        return (
-            self.table("lineitem")
-            .selectExpr(*_projection(_MEASURE_IDS), f"inline(array({', '.join(parts)}))")
-        )
+        return self.table("lineitem").selectExpr(*_projection(ids), f"inline(array({', '.join(parts)}))")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -96,8 +103,8 @@ class Tables:
         )
 
 
-def _sql_measures() -> str:
-    ids = ", ".join(_projection(_MEASURE_IDS))
+def _sql_measures(ids: dict[str, str]) -> str:
+    ids = ", ".join(_projection(ids))
     parts = [
         f"select {ids}, '{header.rsplit(' [', 1)[0]}' as metric, cast({expression} as double) as value from lineitem"
         for header, expression in METRICS.items()
@@ -107,14 +114,15 @@ def _sql_measures() -> str:
 
 SQL_VIEWS: dict[str, str] = {
     "sprints": f"select {', '.join(_projection(_SPRINTS))} from lineitem",
-    "measures": _sql_measures(),
+    "measures": _sql_measures(_MEASURE_IDS),
+    "measures_orders": _sql_measures(_ORDER_IDS),
     "measures_events": "select user_id as entity, event_type as metric, value, ts as test_ts from events",
 }
 
 
 def with_views(sql: str) -> str:
     """Prefix ``sql`` with the views it mentions."""
-    used = [name for name in SQL_VIEWS if name in sql]
+    used = [name for name in SQL_VIEWS if re.search(rf"\b{name}\b", sql)]
     if not used:
         return sql
     views = ", ".join(f"{name} as ({SQL_VIEWS[name]})" for name in used)
