@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,10 +40,13 @@ SILHOUETTE_BLOCK = 1024
 def kmeans_labels(points: DataFrame, id: str, columns: Sequence[str], k: int, restarts: int = RESTARTS) -> DataFrame:
     """Add ``cluster``: the best of ``restarts`` k-means runs, numbered by each cluster's smallest ``id``."""
     vectors = settle(VectorAssembler(inputCols=list(columns), outputCol="_v").transform(points))
-    models = [
-        KMeans(featuresCol="_v", predictionCol="_p", k=k, seed=SEED + i, maxIter=300, tol=1e-4).fit(vectors)
-        for i in range(restarts)
-    ]
+
+    def fit(seed: int) -> KMeansModel:
+        return KMeans(featuresCol="_v", predictionCol="_p", k=k, seed=seed, maxIter=300, tol=1e-4).fit(vectors)
+
+    # the restarts are independent, so their small jobs run side by side
+    with ThreadPool(min(restarts, 5)) as pool:
+        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(SEED, SEED + restarts))
     best = min(models, key=lambda m: m.summary.trainingCost)
     assigned = best.transform(vectors).drop("_v")
     first = assigned.groupBy("_p").agg(F.min(id).alias("lead")).orderBy("lead").collect()

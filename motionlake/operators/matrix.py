@@ -119,20 +119,24 @@ def complete_matrix(means: DataFrame, entities: DataFrame | None = None) -> Matr
     per_metric = (
         means.groupBy("metric")
         .agg(F.count("value").alias("k"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"))
-        .join(grouped_median(means, ["metric"], "value"), "metric")
         .orderBy("metric")
         .collect()
     )
     names = [r["metric"] for r in per_metric]
-    k, mean, m2, median = (np.array([r[c] for r in per_metric], dtype=float) for c in ("k", "mean", "m2", "median"))
+    k, mean, m2 = (np.array([r[c] for r in per_metric], dtype=float) for c in ("k", "mean", "m2"))
     missing = n - k
+    gaps = [m for m, holes in zip(names, missing, strict=True) if holes > 0]
+    medians = {}
+    if gaps:
+        medians = dict(grouped_median(members(means, "metric", gaps), ["metric"], "value").collect())
+    median = np.array([medians.get(m, 0.0) for m in names])
     grand = (k * mean + missing * median) / max(n, 1)
     squares = m2 + k * (mean - grand) ** 2 + missing * (median - grand) ** 2
     wide = pivoted(means, names)
     if entities is not None:
         wide = everyone.join(wide, "entity", "left")
     rows = wide.select(
-        "entity", *[F.coalesce(quoted(m), F.lit(float(x))).alias(m) for m, x in zip(names, median, strict=True)]
+        "entity", *[F.coalesce(quoted(m), F.lit(medians[m])).alias(m) if m in medians else quoted(m) for m in names]
     )
     return Matrix(
         rows, "entity", names, n, grand, np.sqrt(squares / max(n, 1)), np.sqrt(squares / max(n - 1, 1))

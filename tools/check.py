@@ -27,10 +27,9 @@ def oracle_connection(folder: str):
     return con
 
 
-def normal(frame):
-    frame = frame[sorted(frame.columns)]
-    rows = [tuple("NULL" if v is None or v != v else repr(v) for v in row) for row in frame.astype(object).to_numpy().tolist()]
-    return sorted(rows)
+def ordered(frame):
+    columns = sorted(frame.columns)
+    return frame[columns].sort_values(columns, na_position="last").reset_index(drop=True)
 
 
 def compare(spark, con, folder: str, name: str) -> str:
@@ -51,10 +50,14 @@ def compare(spark, con, folder: str, name: str) -> str:
     for column in got.columns:
         if got[column].dtype.kind in "iuf" and want[column].dtype.kind in "iuf" and got[column].dtype != want[column].dtype:
             got[column], want[column] = got[column].astype(float), want[column].astype(float)
-    a, b = normal(got), normal(want)
-    if a != b:
-        only_a, only_b = sorted(set(a) - set(b)), sorted(set(b) - set(a))
-        return f"DIFFERENT rows {len(a)}/{len(b)}, unmatched {len(only_a)}/{len(only_b)}\n   cols {sorted(got.columns)}\n   spark {only_a[:2]}\n   sql   {only_b[:2]}"
+    a, b = ordered(got), ordered(want)
+    if len(a) != len(b):
+        return f"DIFFERENT rows {len(a)}/{len(b)}"
+    unequal = [c for c in a.columns if not ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all()]
+    if unequal:
+        column = unequal[0]
+        where = ~((a[column] == b[column]) | (a[column].isna() & b[column].isna()))
+        return f"DIFFERENT in {unequal}: {where.sum()} rows of {column}\n{a[where].head(2).to_dict('records')}\n{b[where].head(2).to_dict('records')}"
     return f"ok ({len(a)})" + (f" kinds {notes}" if notes else "")
 
 
