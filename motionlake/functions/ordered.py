@@ -7,15 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 
 def with_position(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Add ``pos`` (0-based rank by ``ts`` inside ``keys``) and ``n_points``.
 
-    A plain ``row_number`` over ``keys`` would sort one group in one task.  Here rows are ranked inside
-    (keys, hour) and shifted by the number of earlier rows, taken from the much smaller per-hour counts.
+    A DATE column allows at most one row per calendar day and group, so a plain window is bounded.  With
+    timestamps it would sort a hot group in one task: rows are then ranked inside (keys, hour) and shifted by the
+    number of earlier rows, taken from the per-hour counts.
     """
     keys = list(keys)
+    if isinstance(df.schema[ts].dataType, DateType):
+        group = W.partitionBy(*keys)
+        return df.withColumns(
+            {"pos": F.row_number().over(group.orderBy(ts)) - 1, "n_points": F.count(F.lit(1)).over(group)}
+        )
     hourly = df.withColumn("_hour", F.date_trunc("hour", F.col(ts)))
     by_hour = W.partitionBy(*keys).orderBy("_hour")
     offsets = (

@@ -89,10 +89,13 @@ def clean_sprints(raw: DataFrame) -> DataFrame:
         df = df.withColumn(SPLIT, quoted(SPLIT_YARDS))
     text = F.col("SessionTime").cast("string")
     device, general = session_timestamp(text), general_timestamp(text)
-    found = df.agg(F.count(device).alias("device"), F.count(general).alias("general")).first()
-    if found["device"] == 0 and found["general"] == 0:
-        raise ValueError("no date in column SessionTime could be parsed")
-    df = df.withColumn("session_ts", device if found["device"] else general)
+    # each check stops at the first row that parses
+    parsed = device
+    if df.where(device.isNotNull()).isEmpty():
+        parsed = general
+        if df.where(general.isNotNull()).isEmpty():
+            raise ValueError("no date in column SessionTime could be parsed")
+    df = df.withColumn("session_ts", parsed)
     columns = [
         (quoted(source) if source in _TEXT_COLUMNS else number_column(df, source)).alias(target)
         for source, target in SPRINT_COLUMNS.items()
