@@ -13,7 +13,8 @@ START = date(2024, 1, 1)
 def sprint(client="a", day=0, rep=0, speed=8.0, accel=5.0, split=1.0, load=0.0, ecc=None, weight=80.0, side=None):
     when = START + timedelta(days=day)
     moment = datetime(when.year, when.month, when.day, 10) + timedelta(seconds=rep)
-    return (client, when, moment, speed, accel, split, load, ecc, weight, side)
+    numbers = [None if v is None else float(v) for v in (speed, accel, split, load, ecc, weight)]
+    return (client, when, moment, *numbers, side)
 
 
 def sprints(spark, rows):
