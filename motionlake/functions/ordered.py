@@ -43,14 +43,15 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact median of ``value`` per ``keys`` as column ``median``.
 
-    A bounded quantile sketch brackets the median, equal values are folded into counts, and only the
-    distinct values inside the bracket (about 2 % of them) are ranked.
+    A bounded quantile sketch brackets the median (its rank error is 1/20000, the bracket six times as wide),
+    equal values are folded into counts, and only the distinct values inside the bracket, less than a thousandth
+    of a large group, are ranked.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull())
     bracket = present.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, [0.49, 0.51], 10000).alias("_q"),
+        F.percentile_approx(value, [0.4997, 0.5003], 20000).alias("_q"),
     )
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     placed = counts.join(bracket, keys).withColumns(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import bind
@@ -45,18 +45,26 @@ def moment_columns(value: str, prefix: str) -> list[Column]:
     ]
 
 
+def _about_grand(prefix: str, grand: Column) -> dict[str, Column]:
+    n, mean, m2 = (F.col(f"{prefix}_{s}") for s in ("n", "mean", "m2"))
+    return {f"{prefix}_grand": grand, f"{prefix}_m2_part": m2 + n * (mean - grand) * (mean - grand)}
+
+
 def merged(prefix: str, window) -> dict[str, Column]:
     """Per-part columns whose plain sums over ``window``'s keys give the moments of the union.
 
     ``*_grand`` is the mean of the union and ``*_m2_part`` the part's centred squares about it, so no
-    large squares are subtracted.
+    large squares are subtracted.  Only for parts that are few per key, such as days.
     """
-    n, mean, m2 = (F.col(f"{prefix}_{s}") for s in ("n", "mean", "m2"))
-    grand = F.try_divide(F.sum(n * mean).over(window), F.sum(n).over(window))
-    return {
-        f"{prefix}_grand": grand,
-        f"{prefix}_m2_part": m2 + n * (mean - grand) * (mean - grand),
-    }
+    n, mean = F.col(f"{prefix}_n"), F.col(f"{prefix}_mean")
+    return _about_grand(prefix, F.try_divide(F.sum(n * mean).over(window), F.sum(n).over(window)))
+
+
+def with_grand_mean(parts: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
+    """The columns of :func:`merged` by a join on the keys, for any number of parts per key."""
+    n, mean = F.col(f"{prefix}_n"), F.col(f"{prefix}_mean")
+    grand = parts.groupBy(*keys).agg(F.try_divide(F.sum(n * mean), F.sum(n)).alias("_grand"))
+    return parts.join(grand, keys).withColumns(_about_grand(prefix, F.col("_grand"))).drop("_grand")
 
 
 def merged_mean(prefix: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import percent
-from ..functions.samples import merged, merged_mean, merged_variance, moment_columns
+from ..functions.samples import merged_mean, merged_variance, moment_columns, with_grand_mean
 from .sessions import SESSION, known_clients
 
 GRAVITY = 9.81
@@ -54,12 +54,12 @@ def retention_profile(retention: Column) -> Column:
 def athlete_features(sprints: DataFrame) -> DataFrame:
     """Speed, split, consistency (sample std) and load retention per client, missing values left NULL.
 
-    ``profile`` reads the retention and stays NULL for clients with a single load.
+    ``profile`` reads the retention and stays NULL for clients with a single load.  The mean speed is joined back
+    to the loads instead of taken by a window: a client may have any number of loads.
     """
-    per_client = W.partitionBy("client")
+    by_load = load_stats(sprints)
     features = (
-        load_stats(sprints)
-        .withColumns(merged("speed", per_client))
+        with_grand_mean(by_load, "speed", ["client"])
         .groupBy("client")
         .agg(
             F.max("max_speed").alias("max_speed"),
@@ -109,13 +109,12 @@ def load_power(sprints: DataFrame) -> DataFrame:
 
     The body weight is the one on the client's earliest rep.
     """
-    per_client = W.partitionBy("client")
-    weight = F.min_by("first_weight", "first_ts").over(per_client)
+    by_load = load_stats(sprints)
+    weights = by_load.groupBy("client").agg(F.min_by("first_weight", "first_ts").alias("weight"))
     power = (F.col("weight") + F.col("load")) * F.col("mean_accel") * F.col("mean_speed")
     return (
-        load_stats(sprints)
-        .withColumn("weight", weight)
-        .where("load is not null")
+        by_load.where("load is not null")
+        .join(weights, "client")
         .select("client", "load", "weight", F.col("speed_mean").alias("mean_speed"), "mean_accel")
         .withColumn("power", power)
     )
@@ -123,13 +122,12 @@ def load_power(sprints: DataFrame) -> DataFrame:
 
 def optimal_power(sprints: DataFrame) -> DataFrame:
     """Load of highest power (the lightest among equals) with the range of loads tested."""
-    best = F.max("power").over(W.partitionBy("client"))
+    ranking = F.when(F.col("power").isNotNull(), F.struct("power", -F.col("load")))
     return (
         load_power(sprints)
-        .withColumn("_best", best)
         .groupBy("client")
         .agg(
-            F.min(F.when(F.col("power") == F.col("_best"), F.col("load"))).alias("optimal_load"),
+            F.max_by("load", ranking).alias("optimal_load"),
             F.max("power").alias("max_power"),
             F.count(F.lit(1)).alias("loads_tested"),
             F.min("load").alias("min_load"),

@@ -73,7 +73,8 @@ def with_row_index(df: DataFrame, name: str) -> DataFrame:
 
     Ids from ``monotonically_increasing_id`` run without gaps inside one file block.  Shifting each block's ids
     by the rows in earlier blocks makes them dense; only the per-block counts (one row per block) are ordered
-    globally.  Without file metadata the partition stands for the block.
+    globally.  Rows carry a hash of the file name, so the counts stay small enough to be broadcast.  Without file
+    metadata the partition stands for the block.
     """
     try:
         blocks = df.select(
@@ -81,15 +82,15 @@ def with_row_index(df: DataFrame, name: str) -> DataFrame:
         )
     except Exception:  # noqa: BLE001 - not read from files
         blocks = df.select("*", F.lit("").alias("_file"), F.spark_partition_id().cast("bigint").alias("_block"))
-    numbered = blocks.withColumn("_id", F.monotonically_increasing_id())
+    numbered = blocks.withColumns({"_id": F.monotonically_increasing_id(), "_key": F.xxhash64("_file", "_block")})
     starts = (
-        numbered.groupBy("_file", "_block")
+        numbered.groupBy("_file", "_block", "_key")
         .agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_start"))
         .withColumn("_before", F.sum("_rows").over(W.partitionBy().orderBy("_file", "_block")) - F.col("_rows"))
-        .drop("_rows")
+        .select("_key", "_block", "_before", "_start")
     )
     return (
-        numbered.join(starts, ["_file", "_block"])
+        numbered.join(starts, ["_key", "_block"])
         .withColumn(name, F.col("_before") + F.col("_id") - F.col("_start"))
         .select(*[quoted(c) for c in df.columns], name)
     )
