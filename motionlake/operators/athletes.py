@@ -1,4 +1,4 @@
-"""Single-athlete reports computed for all athletes: similarity, dominance, endurance, risk."""
+"""Single-athlete reports computed for all athletes: dominance, endurance, risk."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from ..functions.samples import merged, merged_mean, merged_variance, moment_col
 from .asymmetry import side_gap, side_risk
 from .sessions import SESSION, known_clients
 
-SIMILARITY_METRICS = ["max_speed", "avg_speed", "best_split"]
 # fixed texts of the risk report
 RECOMMENDATIONS = {
     "High": "Reduce training load, focus on corrective exercises",
@@ -22,26 +21,6 @@ RECOMMENDATIONS = {
 }
 
 
-def similar_athletes(features: DataFrame, target, top_n: int = 3) -> DataFrame:
-    """The ``top_n`` athletes closest to ``target``: one pass over the feature table and a top-k.
-
-    The target's metrics enter as a scalar subquery, so no join is planned.
-    """
-    wanted = (
-        features.where(F.col("client") == F.lit(target))
-        .select(F.struct(*SIMILARITY_METRICS).alias("t"))
-        .scalar()
-    )
-    squares = sum(((wanted[m] - F.col(m)) * (wanted[m] - F.col(m)) for m in SIMILARITY_METRICS), F.lit(0.0))
-    distance = F.sqrt(squares) / F.lit(len(SIMILARITY_METRICS) ** 0.5)
-    return (
-        features.where(F.col("client") != F.lit(target))
-        .select("client", (100.0 / (1.0 + distance)).alias("similarity"), "max_speed", "best_split")
-        .orderBy(F.desc_nulls_last("similarity"), "client")
-        .limit(top_n)
-    )
-
-
 def acceleration_dominance(sprints: DataFrame) -> DataFrame:
     ratio = F.col("ratio")
     profile = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from ..operators import asymmetry, athletes, forecast, loads, sessions, teams
+from ..operators import asymmetry, athletes, forecast, loads, sessions, similarity, teams
 from .registry import query
 from .sql_parts import retention_label, risk, t_test
 from .views import REP_ORDER, Tables
@@ -292,7 +292,25 @@ def _(t: Tables):
     similarity=5, max_speed=6, best_split=6,
 )
 def _(t: Tables):
-    return athletes.similar_athletes(loads.athlete_features(t.sprints), target=1)
+    return similarity.similar_athletes(loads.athlete_features(t.sprints), target=1)
+
+
+@query(
+    "h04_similar_to_each",
+    sql=f"""
+    with {_FEATURES},
+    gaps as (
+      select t.client, f.client as partner, f.max_speed, f.best_split,
+             (f.max_speed - t.max_speed) ** 2 + (f.avg_speed - t.avg_speed) ** 2 + (f.best_split - t.best_split) ** 2 as d
+      from features t join features f on t.client <> f.client),
+    ranked as (select *, cast(row_number() over (partition by client order by d, partner) as int) as rank from gaps)
+    select client, rank, partner, 100 / (1 + sqrt(d) / sqrt(3)) as similarity, max_speed, best_split
+    from ranked where rank <= 3
+    """,
+    similarity=5, max_speed=6, best_split=6,
+)
+def _(t: Tables):
+    return similarity.similar_to_each(loads.athlete_features(t.sprints))
 
 
 @query(

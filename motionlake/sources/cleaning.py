@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.numeric import finite, finite_columns, to_number
-from .layout import split_columns, standard_headers
+from .layout import split_columns, split_header, standard_headers
 
 # fixed value: session time as the sprint device writes it, zone suffix cut off
 SESSION_TIME_FORMAT = "M/d/yyyy h:mm:ss a"
@@ -107,7 +107,7 @@ def standardize_headers(df: DataFrame) -> DataFrame:
 
 
 def metric_and_unit(header: str) -> tuple[Column, Column]:
-    """``Name [unit]`` split at the last bracket pair; without a valid pair the name stays and the unit is empty."""
+    """:func:`split_header` for a column of headers."""
     col = quoted(header)
     bracketed = r"(?s)^(.+)\[([^\[]*)\][^\]]*$"
     valid = col.rlike(bracketed)
@@ -135,27 +135,31 @@ def unpivot_tests(wide: DataFrame, with_test_id: bool = True) -> DataFrame:
         ids.append("ATHLETE_NAME")
     if with_test_id:
         ids.append("_row")
-    numbers = standard.select(*[quoted(c) for c in ids], *[number_column(standard, c).alias(c) for c in parts.metrics])
-    long = numbers.unpivot(
-        [quoted(c) for c in ids], [quoted(c) for c in parts.metrics], "METRIC_FULL", "RESULT"
-    )
-    if with_test_id:
-        position = F.create_map(*[F.lit(v) for pair in zip(parts.metrics, range(len(parts.metrics)), strict=True) for v in pair])
-        rows = numbers.agg(F.count(F.lit(1)).alias("n")).scalar()
-        long = long.withColumn("TEST_ID", position[F.col("METRIC_FULL")] * rows + F.col("_row")).drop("_row")
-    name, unit = metric_and_unit("METRIC_FULL")
-    return (
-        long.where("RESULT is not null")
-        .withColumns({"TARGET_VARIABLE": name, "UNITS": unit})
-        .drop("METRIC_FULL")
-        .withColumns(
-            {
-                "LIMB": F.lit("Trial"),
-                "TRIAL_LIMB": F.lit("Bilateral"),
-                "RESULT_TYPE": F.lit("Measured"),
-                "DESCRIPTION": F.col("TARGET_VARIABLE"),
-            }
+    # names and units are known from the header, so they enter as literals
+    cells = []
+    # a file without any metric column gives an empty table
+    for i, header in enumerate(parts.metrics or [""]):
+        name, unit = split_header(header)
+        value = number_column(standard, header) if parts.metrics else F.lit(None).cast("double")
+        cells.append(
+            F.struct(
+                F.lit(i).cast("bigint").alias("_metric"),
+                F.lit(name).alias("TARGET_VARIABLE"),
+                F.lit(unit).alias("UNITS"),
+                value.alias("RESULT"),
+            )
         )
+    long = standard.select(*[quoted(c) for c in ids], F.inline(F.array(*cells))).where("RESULT is not null")
+    if with_test_id:
+        rows = standard.agg(F.count(F.lit(1)).alias("n")).scalar()
+        long = long.withColumn("TEST_ID", F.col("_metric") * rows + F.col("_row")).drop("_row")
+    return long.drop("_metric").withColumns(
+        {
+            "LIMB": F.lit("Trial"),
+            "TRIAL_LIMB": F.lit("Bilateral"),
+            "RESULT_TYPE": F.lit("Measured"),
+            "DESCRIPTION": F.col("TARGET_VARIABLE"),
+        }
     )
 
 

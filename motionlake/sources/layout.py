@@ -59,6 +59,13 @@ def looks_like_metric(header: str) -> bool:
     return any(word in lowered for word in rules.METRIC_KEYWORDS)
 
 
+def split_header(header: str) -> tuple[str, str]:
+    """``Name [unit]`` split at the last bracket pair; without a valid pair the name stays and the unit is empty."""
+    name, _, tail = header.rpartition("[")
+    unit, closing, _ = tail.rpartition("]")
+    return (name.rstrip(), unit) if name and closing else (header, "")
+
+
 @dataclass(frozen=True)
 class WideColumns:
     ids: list[str]

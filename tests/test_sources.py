@@ -74,6 +74,7 @@ def test_metric_and_unit(spark):
         "twice [a]]": ("twice", "a]"),
     }
     df = spark.createDataFrame([(h,) for h in cases], "h string")
+    assert {h: layout.split_header(h) for h in cases} == cases
     name, unit = cleaning.metric_and_unit("h")
     assert {r.h: (r.n, r.u) for r in df.select("h", name.alias("n"), unit.alias("u")).collect()} == cases
 
@@ -179,3 +180,8 @@ def test_rep_times(spark):
         day.replace(hour=13, minute=5, second=50), day.replace(hour=13, minute=5, second=50),
         day.replace(hour=13, second=12, microsecond=500000), datetime(2024, 1, 2, 3, 4, 5), day.replace(hour=13),
     ]
+
+
+def test_wide_file_without_metrics_is_empty(spark, tmp_path):
+    df = files.read_measures(spark, write(tmp_path, "e.csv", "Name,Date,Notes\nAnn,2024-01-05,fine\n"))
+    assert df.count() == 0 and {"entity", "metric", "value", "test_ts"} <= set(df.columns)

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import date
 
 import pytest
 from helpers import by, one, sprint, sprints
 
-from motionlake.operators import asymmetry, athletes, forecast, loads, sessions, teams
+from motionlake.operators import asymmetry, athletes, forecast, loads, sessions, similarity, teams
 
 
 def test_velocity_decrement_uses_the_lightest_load_of_the_same_day(spark):
@@ -107,12 +108,30 @@ def test_features_retention_and_filling(spark):
 def test_similar_athletes(spark):
     rows = [("t", 8.0, 7.0, 1.0), ("x", 8.0, 7.0, 1.0), ("y", 9.0, 7.0, 1.0), ("n", 8.0, 7.0, None), ("z", 8.0, 10.0, 1.0)]
     df = spark.createDataFrame(rows, "client string, max_speed double, avg_speed double, best_split double")
-    got = athletes.similar_athletes(df, "t", 4).collect()
+    got = similarity.similar_athletes(df, "t", 4).collect()
     assert [r.client for r in got] == ["x", "y", "z", "n"]
     assert got[0].similarity == 100 and got[1].similarity == pytest.approx(100 / (1 + 1 / math.sqrt(3)))
     assert got[3].similarity is None
 
 
+@pytest.mark.parametrize(("block", "visitors"), [(2000, 50000), (6, 50000), (9, 5)])
+def test_similar_to_each_matches_brute_force(spark, block, visitors):
+    rng = random.Random(11)
+    rows = [(f"c{i:03d}", round(rng.uniform(5, 9), 2), round(rng.uniform(4, 8), 2), round(rng.uniform(0.9, 1.2), 2)) for i in range(60)]
+    rows += [(f"copy{i:02d}", 7.0, 6.0, 1.0) for i in range(40)]  # a hot spot
+    rows += [(f"grid{i:02d}", 5.0 + i % 3, 5.0, 1.0) for i in range(9)] + [("far", 100.0, 90.0, 9.0), ("part", 7.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "client string, max_speed double, avg_speed double, best_split double")
+    whole = [r for r in rows if None not in r]
+    want = {}
+    for c, *x in whole:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), d) for d, *y in whole if d != c)[:3]
+        want[c] = [(d, pytest.approx(100 / (1 + math.sqrt(q) / math.sqrt(3)))) for q, d in near]
+    got = {}
+    for r in similarity.similar_to_each(df, 3, block, visitors).orderBy("client", "rank").collect():
+        got.setdefault(r.client, []).append((r.partner, r.similarity))
+    assert got == want
+
+
 def test_power_and_zones(spark):
     df = sprints(spark, [
         sprint(rep=5, speed=8, accel=4, load=10, weight=90), sprint(rep=1, speed=6, accel=4, load=30, weight=70),
