@@ -10,27 +10,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 
-def with_position(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Add ``pos`` (0-based rank by ``ts`` inside ``keys``) and ``n_points``.
+def with_position(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
+    """Add ``pos`` (0-based rank by ``ts`` inside ``keys``), ``n_points`` and ``n_values`` (points with a value).
 
     A DATE column allows at most one row per calendar day and group, so a plain window is bounded.  With
     timestamps it would sort a hot group in one task: rows are then ranked inside (keys, hour) and shifted by the
-    number of earlier rows, taken from the per-hour counts.
+    number of earlier rows, taken from the per-hour counts.  Both branches need the same columns of ``df``, so
+    Spark runs an aggregate below once and reuses its exchange.
     """
     keys = list(keys)
     if isinstance(df.schema[ts].dataType, DateType):
         group = W.partitionBy(*keys)
         return df.withColumns(
-            {"pos": F.row_number().over(group.orderBy(ts)) - 1, "n_points": F.count(F.lit(1)).over(group)}
+            {
+                "pos": F.row_number().over(group.orderBy(ts)) - 1,
+                "n_points": F.count(F.lit(1)).over(group),
+                "n_values": F.count(value).over(group),
+            }
         )
-    hourly = df.withColumn("_hour", F.date_trunc("hour", F.col(ts)))
+    hourly = df.withColumn("_hour", F.date_trunc("hour", F.col(ts))).where("_hour is not null")
     by_hour = W.partitionBy(*keys).orderBy("_hour")
     offsets = (
         hourly.groupBy(*keys, "_hour")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.sum("_rows").over(by_hour) - F.col("_rows"))
-        .withColumn("n_points", F.sum("_rows").over(W.partitionBy(*keys)))
-        .drop("_rows")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.count(value).alias("_values"))
+        .withColumns(
+            {
+                "_before": F.sum("_rows").over(by_hour) - F.col("_rows"),
+                "n_points": F.sum("_rows").over(W.partitionBy(*keys)),
+                "n_values": F.sum("_values").over(W.partitionBy(*keys)),
+            }
+        )
+        .drop("_rows", "_values")
     )
     within = F.row_number().over(W.partitionBy(*keys, "_hour").orderBy(ts)) - 1
     return (

@@ -115,38 +115,32 @@ def power_endurance(sprints: DataFrame, rep_order: Sequence[str] = ("rep_ts",))
 def injury_risk(sprints: DataFrame) -> DataFrame:
     """Risk score from side asymmetry, recent speed drop and variability.
 
-    Everything derives from one (client, date, side) aggregate of the rows.
+    Everything derives from one (client, date, side) aggregate of the rows: one scan, and windows over the days of
+    a client only.
     """
     per_client = W.partitionBy("client")
-    parts = (
+    back = F.dense_rank().over(per_client.orderBy(F.desc("session_date")))
+
+    def best(condition: Column) -> Column:
+        return F.max(F.when(condition, F.col("best")))
+
+    overall = (
         known_clients(sprints)
         .groupBy(*SESSION, "side")
         .agg(F.max("top_speed").alias("best"), *moment_columns("top_speed", "speed"))
-    )
-    overall = (
-        parts.withColumns(merged("speed", per_client))
+        .withColumns(merged("speed", per_client) | {"_back": back})
         .groupBy("client")
         .agg(
-            F.max(F.when(F.col("side") == "Left", F.col("best"))).alias("left_speed"),
-            F.max(F.when(F.col("side") == "Right", F.col("best"))).alias("right_speed"),
+            best(F.col("side") == "Left").alias("left_speed"),
+            best(F.col("side") == "Right").alias("right_speed"),
+            best(F.col("_back") <= 3).alias("recent"),
+            best(F.col("_back").between(4, 6)).alias("before"),
+            F.max("_back").alias("dates"),
             percent(F.sqrt(merged_variance("speed")), merged_mean("speed")).alias("speed_cv"),
         )
-    )
-    latest = per_client.orderBy(F.desc("session_date"))
-    recent = (
-        parts.groupBy(*SESSION)
-        .agg(F.max("best").alias("best"))
-        .withColumn("_k", F.row_number().over(latest))
-        .where("_k <= 6")
-        .groupBy("client")
-        .agg(
-            F.max(F.when(F.col("_k") <= 3, F.col("best"))).alias("recent"),
-            F.max(F.when(F.col("_k") > 3, F.col("best"))).alias("before"),
-            F.count(F.lit(1)).alias("_dates"),
-        )
-        .select(
-            "client",
-            F.when(F.col("_dates") == 6, percent(F.col("before") - F.col("recent"), F.col("before"))).alias("speed_drop"),
+        .withColumn(
+            "speed_drop",
+            F.when(F.col("dates") >= 6, percent(F.col("before") - F.col("recent"), F.col("before"))),
         )
     )
     gap, drop, cv = F.col("speed_asymmetry"), F.col("speed_drop"), F.col("speed_cv")
@@ -168,8 +162,7 @@ def injury_risk(sprints: DataFrame) -> DataFrame:
         F.col("risk_level") == "Moderate", RECOMMENDATIONS["Moderate"]
     )
     return (
-        overall.join(recent, "client")
-        .withColumn("speed_asymmetry", side_gap(F.col("left_speed"), F.col("right_speed")))
+        overall.withColumn("speed_asymmetry", side_gap(F.col("left_speed"), F.col("right_speed")))
         .withColumns({"risk_score": score, "risk_factors": factors})
         .withColumn("risk_level", risk)
         .withColumn("recommendation", advice.otherwise(RECOMMENDATIONS["Low"]))

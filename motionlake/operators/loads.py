@@ -181,20 +181,28 @@ def session_loads(sprints: DataFrame) -> DataFrame:
     )
 
 
-def force_velocity_profiles(sprints: DataFrame) -> DataFrame:
-    """Force-velocity profile of every session with two loads and a falling line."""
-    v0, f0, slope = F.col("v0"), F.col("f0_load"), F.col("slope")
+def _session_fits(sprints: DataFrame) -> DataFrame:
+    """Line through the best speed per load of every session, whatever its slope."""
     return (
         session_loads(sprints)
         .groupBy(*SESSION)
         .agg(
             F.count("load").alias("n_points"),
+            F.sum("sprints").alias("n_sprints"),
+            F.min("load").alias("_low"),
+            F.max("load").alias("_high"),
             F.regr_slope("max_speed", "load").alias("slope"),
             F.regr_intercept("max_speed", "load").alias("v0"),
             F.regr_r2("max_speed", "load").alias("r_squared"),
             F.min_by("first_weight", "first_ts").alias("weight"),
         )
-        .where("n_points >= 2 and slope < 0")
+    )
+
+
+def _falling_profiles(fits: DataFrame) -> DataFrame:
+    v0, f0, slope = F.col("v0"), F.col("f0_load"), F.col("slope")
+    return (
+        fits.where("n_points >= 2 and slope < 0")
         .withColumn("f0_load", F.try_divide(-v0, slope))
         .withColumn("f0_newtons", (F.col("weight") + f0) * GRAVITY)
         .withColumn("pmax", F.col("f0_newtons") * v0 / 4.0)
@@ -202,6 +210,11 @@ def force_velocity_profiles(sprints: DataFrame) -> DataFrame:
     )
 
 
+def force_velocity_profiles(sprints: DataFrame) -> DataFrame:
+    """Force-velocity profile of every session with two loads and a falling line."""
+    return _falling_profiles(_session_fits(sprints))
+
+
 def profile_sessions(sprints: DataFrame, min_loads: int = 2) -> DataFrame:
     """Sessions with at least ``min_loads`` distinct loads."""
     span = F.concat(
@@ -211,28 +224,20 @@ def profile_sessions(sprints: DataFrame, min_loads: int = 2) -> DataFrame:
         F.lit(" kg"),
     )
     return (
-        session_loads(sprints)
-        .groupBy(*SESSION)
-        .agg(
-            F.count("load").alias("n_loads"),
-            F.sum("sprints").alias("n_sprints"),
-            F.min("load").alias("_low"),
-            F.max("load").alias("_high"),
-        )
-        .where(F.col("n_loads") >= min_loads)
-        .withColumn("load_range", span)
-        .drop("_low", "_high")
+        _session_fits(sprints)
+        .where(F.col("n_points") >= min_loads)
+        .select(*SESSION, F.col("n_points").alias("n_loads"), "n_sprints", span.alias("load_range"))
     )
 
 
 def profile_shift(sprints: DataFrame, sessions: int = 3) -> DataFrame:
-    """First against last valid profile among each client's first ``sessions`` eligible sessions."""
+    """First against last valid profile among each client's first ``sessions`` sessions with two loads."""
     order = W.partitionBy("client").orderBy("session_date")
     chosen = (
-        profile_sessions(sprints)
-        .select(*SESSION, F.row_number().over(order).alias("_k"))
+        _session_fits(sprints)
+        .where("n_points >= 2")
+        .withColumn("_k", F.row_number().over(order))
         .where(F.col("_k") <= sessions)
-        .drop("_k")
     )
     measures = ["v0", "f0_newtons", "pmax"]
     ends = []
@@ -242,8 +247,7 @@ def profile_shift(sprints: DataFrame, sessions: int = 3) -> DataFrame:
             F.max_by(name, "session_date").alias(f"_last_{name}"),
         ]
     pairs = (
-        force_velocity_profiles(sprints)
-        .join(chosen, SESSION, "left_semi")
+        _falling_profiles(chosen)
         .groupBy("client")
         .agg(
             F.count(F.lit(1)).alias("profiles"),

@@ -169,8 +169,9 @@ def progression_summary(progression: DataFrame) -> DataFrame:
 def velocity_decrement(sprints: DataFrame) -> DataFrame:
     """Add ``velocity_decrement``: percent below the best same-day speed at the client's lightest load.
 
-    The best speeds come from a (client, date, load) aggregate joined back on (client, date).  Spark broadcasts
-    it when small and splits skewed partitions otherwise; a window over clients could do neither.
+    The best speeds come from one (client, date, load) aggregate, reduced to one row per day before the client's
+    lightest load is known, and are joined back on (client, date).  Spark broadcasts them when small and splits
+    skewed partitions otherwise; a window over a client's rows could do neither.
     """
     by_load = (
         known_clients(sprints)
@@ -178,7 +179,12 @@ def velocity_decrement(sprints: DataFrame) -> DataFrame:
         .groupBy(*SESSION, "load")
         .agg(F.max("top_speed").alias("_best"))
     )
-    lightest = by_load.groupBy("client").agg(F.min("load").alias("load"))
-    unloaded = by_load.join(lightest, ["client", "load"]).drop("load")
+    unloaded = (
+        by_load.groupBy(*SESSION)
+        .agg(F.min("load").alias("_load"), F.min_by("_best", "load").alias("_best"))
+        .withColumn("_lightest", F.min("_load").over(W.partitionBy("client")))
+        .where(F.col("_load") == F.col("_lightest"))
+        .select(*SESSION, "_best")
+    )
     gap = percent(F.col("_best") - F.col("top_speed"), F.col("_best"))
     return sprints.join(unloaded, SESSION, "left").withColumn("velocity_decrement", gap).drop("_best")

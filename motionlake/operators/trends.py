@@ -53,13 +53,13 @@ def improvement_report(measures: DataFrame) -> DataFrame:
     early = F.when(F.col("pos") < half, F.col("value"))
     late = F.when(F.col("pos") >= half, F.col("value"))
     report = (
-        with_position(points_over_time(measures), SERIES, "test_ts")
+        with_position(points_over_time(measures), SERIES, "test_ts", "value")
         .groupBy(*SERIES)
         .agg(
             F.min_by("value", "pos").alias("first_value"),
             F.max_by("value", "pos").alias("last_value"),
             F.count(F.lit(1)).alias("data_points"),
-            F.count("value").alias("_values"),
+            F.max("n_values").alias("_values"),
             F.regr_sxx("value", "pos").alias("_sxx"),
             F.regr_syy("value", "pos").alias("_syy"),
             F.regr_sxy("value", "pos").alias("_sxy"),

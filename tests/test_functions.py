@@ -126,10 +126,11 @@ def test_grouped_median_with_a_hot_value_and_many_rows(spark):
 def test_positions_across_hours_and_for_dates(spark):
     random.seed(1)
     base = datetime(2024, 1, 1)
-    rows = [(k, base + timedelta(minutes=m)) for k in "xy" for m in random.sample(range(5000), 80)]
-    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
-    for frame in (df, df.withColumn("ts", F.to_date("ts")).distinct()):
-        got = {(r.k, r.ts): (r.pos, r.n_points) for r in ordered.with_position(frame, ["k"], "ts").collect()}
+    rows = [(k, base + timedelta(minutes=m), 1.0 if m % 2 else None) for k in "xy" for m in random.sample(range(5000), 80)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    for frame in (df, df.groupBy("k", F.to_date("ts").alias("ts")).agg(F.max("v").alias("v"))):
+        got = {(r.k, r.ts): (r.pos, r.n_points, r.n_values) for r in ordered.with_position(frame, ["k"], "ts", "v").collect()}
         for k in "xy":
-            mine = sorted(r.ts for r in frame.collect() if r.k == k)
-            assert [got[k, ts] for ts in mine] == [(i, len(mine)) for i in range(len(mine))]
+            mine = sorted(((r.ts, r.v) for r in frame.collect() if r.k == k), key=lambda p: p[0])
+            present = sum(v is not None for _, v in mine)
+            assert [got[k, ts] for ts, _ in mine] == [(i, len(mine), present) for i in range(len(mine))]
