@@ -30,7 +30,7 @@ from .components import (
     spectrum,
     suitability,
 )
-from .matrix import Matrix, complete_matrix, selected_means
+from .matrix import Matrix, complete_matrix, listed, selected_means
 
 SEED = 42
 RESTARTS = 10
@@ -207,10 +207,12 @@ class ComponentAnalysis:
     loadings: DataFrame
 
 
-def component_analysis(measures: DataFrame, metrics: Sequence[str], entities: Sequence | DataFrame | None = None) -> ComponentAnalysis:
+def component_analysis(
+    measures: DataFrame, metrics: Sequence[str] | DataFrame, entities: Sequence | DataFrame | None = None
+) -> ComponentAnalysis:
     """Pivot, impute, drop constant metrics, standardise, and keep the components that beat chance."""
     spark = measures.sparkSession
-    matrix = complete_matrix(selected_means(measures, metrics, entities)).varying()
+    matrix = complete_matrix(selected_means(measures, listed(metrics), entities)).varying()
     r = matrix.correlation()
     found = spectrum(matrix, r)
     thresholds = parallel_thresholds(spark, matrix.n, len(matrix.metrics))
@@ -249,10 +251,10 @@ class GatedAnalysis:
 
 
 def gated_analysis(
-    measures: DataFrame, metrics: Sequence[str], k: int = 3, entities: Sequence | DataFrame | None = None
+    measures: DataFrame, metrics: Sequence[str] | DataFrame, k: int = 3, entities: Sequence | DataFrame | None = None
 ) -> GatedAnalysis:
     """Components and clusters on metrics that at least half of the entities (and three) have."""
-    means = settle(selected_means(measures, metrics, entities))
+    means = settle(selected_means(measures, listed(metrics), entities))
     kept = means.select("entity").distinct()
     if entities is None:
         asked = measures.where("entity is not null").select("entity").distinct().count()

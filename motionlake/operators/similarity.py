@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +14,7 @@ SIMILARITY_METRICS = ["max_speed", "avg_speed", "best_split"]
 BLOCK = 2000
 MAX_BLOCKS = 100_000
 VISITORS = 50_000
-_CHUNK = 256
+CHUNK = 256
 
 
 def similarity(squared_distance):
@@ -43,15 +41,6 @@ def similar_athletes(features: DataFrame, target, top_n: int = 3) -> DataFrame:
     )
 
 
-def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    gaps = x[:, None, :] - y[None, :, :]
-    return (gaps * gaps).sum(axis=2)
-
-
-def _chunks(n: int) -> Iterator[slice]:
-    return (slice(i, i + _CHUNK) for i in range(0, n, _CHUNK))
-
-
 def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, visitors: int = VISITORS) -> DataFrame:
     """The ``top_n`` closest athletes of every athlete that has all metrics.  Exact, without pairing everyone.
 
@@ -63,6 +52,15 @@ def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, vis
     """
     dims = SIMILARITY_METRICS
     need = top_n + 1
+
+    # local functions travel to the workers with the tasks, which then need not import this package
+    def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        gaps = x[:, None, :] - y[None, :, :]
+        return (gaps * gaps).sum(axis=2)
+
+    def chunks(n: int, size: int = CHUNK) -> list[slice]:
+        return [slice(i, i + size) for i in range(0, n, size)]
+
     complete = features.select("client", *dims).dropna()
     kind = complete.schema["client"].dataType.simpleString()
     first = F.row_number().over(W.partitionBy(*dims).orderBy("client"))
@@ -83,9 +81,9 @@ def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, vis
         x = spots_of_block[dims].to_numpy(float)
         radius = np.full(len(x), np.inf)
         if len(x) >= need:
-            for part in _chunks(len(x)):
+            for part in chunks(len(x)):
                 # a hair wider than measured, so that rounding cannot hide an equally distant athlete
-                radius[part] = np.sqrt(np.partition(_squared(x[part], x), need - 1, axis=1)[:, need - 1]) * (1 + 1e-9) + 1e-12
+                radius[part] = np.sqrt(np.partition(squared(x[part], x), need - 1, axis=1)[:, need - 1]) * (1 + 1e-9) + 1e-12
         start = np.searchsorted(high, x[:, 0] - radius, side="left")
         stop = np.searchsorted(low, x[:, 0] + radius, side="right") - 1
         return spots_of_block[dims].assign(start=start, stop=stop)
@@ -107,8 +105,8 @@ def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, vis
         athletes = host.explode("clients").sort_values("clients", kind="stable")
         names, y, x = athletes["clients"].to_numpy(), athletes[dims].to_numpy(float), guest[dims].to_numpy(float)
         out = []
-        for part in _chunks(len(x)) if len(names) else ():
-            squares = _squared(x[part], y)
+        for part in chunks(len(x)) if len(names) else []:
+            squares = squared(x[part], y)
             # columns are in name order, so a stable sort breaks ties by name
             best = np.argsort(squares, axis=1, kind="stable")[:, :need]
             rows = np.repeat(np.arange(len(best)), best.shape[1])

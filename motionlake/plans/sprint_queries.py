@@ -89,7 +89,7 @@ _PROGRESS_LONG = """
     sql=f"""
     with {_PROGRESS_LONG},
     placed as (
-      select *, row_number() over (partition by client, metric order by session_date) - 1 as session_index from long),
+      select *, cast(row_number() over (partition by client, metric order by session_date) - 1 as int) as session_index from long),
     sums as (
       select client, metric, count(*) as n, avg(session_index) as mx, avg(value) as my,
              avg(session_index * value) as mxy, avg(session_index * session_index) as mxx

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def with_row_index(df: DataFrame, name: str) -> DataFrame:
         blocks = df.select(
             "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
         )
-    except Exception:  # noqa: BLE001 - not read from files
+    except AnalysisException:  # not read from files
         blocks = df.select("*", F.lit("").alias("_file"), F.spark_partition_id().cast("bigint").alias("_block"))
     numbered = blocks.withColumns({"_id": F.monotonically_increasing_id(), "_key": F.xxhash64("_file", "_block")})
     starts = (

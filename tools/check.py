@@ -18,6 +18,11 @@ from motionlake.session import local_session  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
 
 def oracle_connection(folder: str):
     con = duckdb.connect()
@@ -44,9 +49,8 @@ def compare(spark, con, folder: str, name: str) -> str:
     for column in got.columns:
         if str(got[column].dtype).startswith(("date", "time")) or str(want[column].dtype).startswith(("date", "time")):
             got[column], want[column] = got[column].astype("datetime64[us]"), want[column].astype("datetime64[us]")
-    notes = [
-        f"{c}: {got[c].dtype}/{want[c].dtype}" for c in got.columns if got[c].dtype.kind != want[c].dtype.kind
-    ]
+    described = dict(con.execute(f"describe {item.oracle()}").df()[["column_name", "column_type"]].itertuples(index=False))
+    notes = [f"{c}: {t}/{described[c]}" for c, t in df.dtypes if TYPES.get(t, t) != described[c]]
     for column in got.columns:
         if got[column].dtype.kind in "iuf" and want[column].dtype.kind in "iuf" and got[column].dtype != want[column].dtype:
             got[column], want[column] = got[column].astype(float), want[column].astype(float)
@@ -58,7 +62,7 @@ def compare(spark, con, folder: str, name: str) -> str:
         column = unequal[0]
         where = ~((a[column] == b[column]) | (a[column].isna() & b[column].isna()))
         return f"DIFFERENT in {unequal}: {where.sum()} rows of {column}\n{a[where].head(2).to_dict('records')}\n{b[where].head(2).to_dict('records')}"
-    return f"ok ({len(a)})" + (f" kinds {notes}" if notes else "")
+    return f"ok ({len(a)})" + (f" types {notes}" if notes else "")
 
 
 def main() -> int:
