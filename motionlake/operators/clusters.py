@@ -250,6 +250,15 @@ class GatedAnalysis:
     score: DataFrame | None = None
 
 
+def covered_metrics(means: DataFrame, asked: int) -> DataFrame:
+    """Metrics that at least half of the ``asked`` entities, and three, have a mean for."""
+    return (
+        means.groupBy("metric")
+        .agg(F.count(F.lit(1)).alias("entities"))
+        .where(F.col("entities") >= max(3, asked * 0.5))
+    )
+
+
 def gated_analysis(
     measures: DataFrame, metrics: Sequence[str] | DataFrame, k: int = 3, entities: Sequence | DataFrame | None = None
 ) -> GatedAnalysis:
@@ -260,9 +269,7 @@ def gated_analysis(
         asked = measures.where("entity is not null").select("entity").distinct().count()
     else:
         asked = entities.select("entity").distinct().count() if isinstance(entities, DataFrame) else len(entities)
-    needed = max(3, asked * 0.5)
-    covered = means.groupBy("metric").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= needed)
-    valid = sorted(r["metric"] for r in covered.collect())
+    valid = listed(covered_metrics(means, asked))
     if len(valid) < 3:
         return GatedAnalysis(f"Insufficient data: Only {len(valid)} metrics have adequate coverage")
     n = kept.count()

@@ -472,6 +472,20 @@ def _(t: Tables):
     )
 
 
+@query(
+    "d20_covered_metrics",
+    sql="""
+    with means as (
+      select entity, metric from measures_orders group by entity, metric having count(value) > 0)
+    select metric, count(*) as entities from means group by metric
+    having count(*) >= greatest(3, 0.5 * (select count(distinct entity) from measures_orders))
+    """,
+)
+def _(t: Tables):
+    everyone = t.measures_orders.select("entity").distinct().count()
+    return clusters.covered_metrics(matrix.selected_means(t.measures_orders, METRIC_NAMES), everyone)
+
+
 @query("d20_gated_analysis")
 def _(t: Tables):
     return clusters.gated_analysis(t.measures, METRIC_NAMES).labelled
