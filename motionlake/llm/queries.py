@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, sharding
+from . import decontamination, language, mixing, pii, quality, secrets, sharding
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -18,16 +18,55 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents").select("doc_id"), SHARDS)
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = language.held_out(F.col("doc_id"))
+    model = language.train(docs.where(~held_out))
+    return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(table(spark, folder, "documents")).drop("copies")
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find(table(spark, folder, "documents"))
+    base = F.filter("found", lambda s: s["kind"].isin(*secrets.BASE))
+    counts = [_count(base, kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.verdicts(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed"
+    )
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"))
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE))
+    counts = [_count(base, kind).alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+
+
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def _joined(spans):
+    """kind:start:end of every span, comma-joined, in the order of the array."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items").cast("binary"), 256)).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op6_mixing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_sharding, op2_language_id, op6_mixing, op7_secrets, op8_quality_rules, op9_decontamination, op10_pii,
+)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,6 +95,42 @@ with recursive sized as (
 select doc_id, size, source_size, target,
   (size * (floor(rate) + case when ('0x' || md5('mix:' || coalesce(doc_id::varchar, ''))[1:13])::bigint::double / 4503599627370496.0::double < rate - floor(rate) then 1 else 0 end))::bigint as taken
 from rated
+""",
+    "op8_quality_rules": rf"""
+with words as (
+  select doc_id, source, text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents
+), lined as (
+  select doc_id, source, text, nr, line, lw from (
+    select doc_id, source, text, nr, line, regexp_extract_all(line, '{_WORD}') as lw
+    from (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as nr from documents)
+  ) where len(lw) > 0
+), duplicates as (
+  select doc_id, sum(n - 1)::bigint as n_dup_lines from (select doc_id, line, count(*) as n from lined group by all) group by doc_id
+), triples as (
+  select doc_id, i, array_to_string(w[i : i + 2], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from words where len(w) > 2)
+), again as (
+  select doc_id, i from triples join (select doc_id, t from triples group by all having count(*) > 1) using (doc_id, t)
+), repeats as (
+  select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + 3)) as p from again) group by doc_id
+), normal as (
+  select doc_id, source, text, regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') as line, sum(len(lw)) as n
+  from lined group by all
+), hosts as (
+  select source, count(distinct text) as texts from documents group by source
+), frequent as (
+  select source, line, min(doc_id) as first_id from normal join hosts using (source)
+  group by source, line, texts having count(distinct text) > 20 and count(distinct text) > texts * 0.005
+), lost as (
+  select doc_id, sum(n)::bigint as n_removed from normal join frequent using (source, line) where doc_id <> first_id group by doc_id
+), all_of as (
+  select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_removed, 0)::bigint as n_removed
+  from words left join duplicates using (doc_id) left join repeats using (doc_id) left join lost using (doc_id)
+)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 2 * (n_words - n_removed) >= n_words as kept
+from all_of
 """,
     "op9_decontamination": r"""
 with parts as (
