@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, pii, quality, secrets, sharding
+from . import decontamination, language, mixing, neardup, pii, quality, secrets, sharding
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -25,6 +25,10 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(table(spark, folder, "documents"), k=2)
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(table(spark, folder, "documents")).drop("copies")
 
@@ -65,12 +69,34 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_language_id, op6_mixing, op7_secrets, op8_quality_rules, op9_decontamination, op10_pii,
+    op1_sharding, op2_language_id, op3_near_duplicates, op6_mixing, op7_secrets, op8_quality_rules, op9_decontamination, op10_pii,
 )}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i : i + least(2, len(w)) - 1], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) as i from words where len(w) > 0)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b using (s) where a.doc_id < b.doc_id group by all
+), edges as (
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), both_ways as (
+  select a, b from edges union all select b, a from edges
+), reach as (
+  select doc_id, doc_id as node from documents
+  union
+  select reach.doc_id, both_ways.b from reach join both_ways on both_ways.a = reach.node
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least_id as component_id, doc_id = least_id as kept
+from (select doc_id, min(node) as least_id from reach group by doc_id) left join sizes using (doc_id)
+""",
     "op6_mixing": rf"""
 with recursive sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size from documents
