@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, neardup, pii, quality, secrets, sharding
+from . import decontamination, language, mixing, neardup, pii, quality, secrets, sharding, substrings
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -29,6 +29,10 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "documents"), k=2)
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeat_digest(table(spark, folder, "documents"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(table(spark, folder, "documents")).drop("copies")
 
@@ -69,7 +73,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_language_id, op3_near_duplicates, op6_mixing, op7_secrets, op8_quality_rules, op9_decontamination, op10_pii,
+    op1_sharding, op2_language_id, op3_near_duplicates, op5_substring_dedup, op6_mixing, op7_secrets, op8_quality_rules, op9_decontamination, op10_pii,
 )}
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -96,6 +100,23 @@ with recursive words as (
 )
 select doc_id, coalesce(n, 0)::bigint as n_shingles, least_id as component_id, doc_id = least_id as kept
 from (select doc_id, min(node) as least_id from reach group by doc_id) left join sizes using (doc_id)
+""",
+    "op5_substring_dedup": rf"""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as s from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)
+), firsts as (
+  select s, min(doc_id) as first_id from windows group by s
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as word from windows join firsts using (s) where first_id < doc_id
+), placed as (
+  select doc_id, unnest(w) as x, generate_subscripts(w, 1) as word from words
+), kept as (
+  select doc_id, count(*) as n, string_agg(x, ' ' order by word) as kept_text from placed anti join gone using (doc_id, word) group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept_text, '')) as kept_sha256
+from words left join kept using (doc_id)
 """,
     "op6_mixing": rf"""
 with recursive sized as (
