@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, neardup, pii, quality, secrets, sharding, substrings
+from . import decontamination, language, lm, mixing, neardup, pii, quality, secrets, sharding, substrings
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -29,6 +29,10 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "documents"), k=2)
 
 
+def op4_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeat_digest(table(spark, folder, "documents"))
 
@@ -73,7 +77,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_language_id, op3_near_duplicates, op5_substring_dedup, op6_mixing, op7_secrets, op8_quality_rules, op9_decontamination, op10_pii,
+    op1_sharding, op2_language_id, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_mixing, op7_secrets, op8_quality_rules, op9_decontamination, op10_pii,
 )}
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -100,6 +104,36 @@ with recursive words as (
 )
 select doc_id, coalesce(n, 0)::bigint as n_shingles, least_id as component_id, doc_id = least_id as kept
 from (select doc_id, min(node) as least_id from reach group by doc_id) left join sizes using (doc_id)
+""",
+    "op4_lm_scores": rf"""
+with parts as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents
+), words as (
+  select doc_id, unnest(w) as raw, generate_subscripts(w, 1) as i from parts
+), total as (
+  select count(*) as total_words from words
+), vocabulary as (
+  select raw, count(*) as n from words group by raw having count(*) * 65536 >= (select total_words from total)
+), tokens as (
+  select doc_id, i, coalesce(v.raw, '') as x from words left join vocabulary v using (raw)
+), singles as (
+  select x, count(*) as n from tokens group by x
+), pairs as (
+  select a.doc_id, a.x as x, b.x as y, count(*) as own from tokens a join tokens b on a.doc_id = b.doc_id and b.i = a.i + 1 group by all
+), counts as (
+  select x, y, sum(own) as n from pairs group by all
+), logs as (
+  select doc_id, own, c.n > own as seen, round(1e6 * log10(case when c.n > own then (c.n - own) / f.n::double else 0.4::double * s.n / total_words::double end)) as log
+  from pairs join counts c using (x, y) join singles f on f.x = pairs.x join singles s on s.x = pairs.y, total
+), later as (
+  select doc_id, sum(own * log) as total, sum(case when seen then 0 else own end) as backed from logs group by doc_id
+), firsts as (
+  select doc_id, round(1e6 * log10(n / total_words::double)) as log from tokens join singles using (x), total where i = 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(backed, 0)::bigint as n_backed_off,
+  (coalesce(firsts.log, 0) + coalesce(later.total, 0)) / 1e6::double as log_score,
+  (coalesce(firsts.log, 0) + coalesce(later.total, 0)) / 1e6::double / nullif(len(w), 0)::double as mean_log_score
+from parts left join later using (doc_id) left join firsts using (doc_id)
 """,
     "op5_substring_dedup": rf"""
 with words as (
