@@ -31,6 +31,8 @@ from .components import components
 SIMILAR = 80
 SHINGLE = 5
 BANDS, ROWS = 40, 5
+#: Bits of the map of candidate ids.
+BITS = 1 << 24
 #: Shingles of a block of bucket members.
 BLOCK = 1_000_000
 SEED = 7
@@ -79,26 +81,31 @@ _SIGNED = StructType([
 ])
 
 
+def signatures(sets: list[np.ndarray], functions: tuple[np.ndarray, np.ndarray], bands: int, rows: int) -> tuple[list, list, list]:
+    """Fingerprint, signature (low bytes of the minima) and band keys of each set; of an empty set nothing."""
+    full = [i for i, s in enumerate(sets) if len(s)]
+    prints, sigs, keys = [None] * len(sets), [None] * len(sets), [[]] * len(sets)
+    if full:
+        least = minima([sets[i] for i in full], *functions)
+        banded = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(full), bands))
+        for r in range(rows):
+            banded = _mixed(banded * _ODD + least[:, r::rows])
+        low, banded = least.astype(np.uint8), banded.astype(np.int64)
+        for at, i in enumerate(full):
+            prints[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+            sigs[i] = low[at].tobytes()
+            keys[i] = banded[at]
+    return prints, sigs, keys
+
+
 def _sign(k: int, bands: int, rows: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        a, b = universal(bands * rows)
+        hashes, functions = WordHashes(), universal(bands * rows)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 sets = [shingle_set(t, k, hashes) for t in part.column(1).to_pylist()]
-                full = [i for i, s in enumerate(sets) if len(s)]
-                prints, sigs, keys = [None] * len(sets), [None] * len(sets), [[]] * len(sets)
-                if full:
-                    least = minima([sets[i] for i in full], a, b)
-                    banded = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(full), bands))
-                    for r in range(rows):
-                        banded = _mixed(banded * _ODD + least[:, r::rows])
-                    low, banded = least.astype(np.uint8), banded.astype(np.int64)
-                    for at, i in enumerate(full):
-                        prints[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                        sigs[i] = low[at].tobytes()
-                        keys[i] = banded[at]
+                prints, sigs, keys = signatures(sets, functions, bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()),
                      pa.array(keys, pa.list_(pa.int64()))], schema=schema,
@@ -115,19 +122,49 @@ def sign(rows: DataFrame, k: int, bands: int = BANDS, height: int = ROWS) -> Dat
     return rows.select("id", "text").mapInArrow(_sign(k, bands, height, arrow_types.to_arrow_schema(out)), out)
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids`` (column ``id``).
+
+    A bit map of ``BITS`` hashed ids, the same size for any input, keeps most other texts out of the join's shuffle; the
+    join makes it exact.
+    """
+    spot = lambda: F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = ids.select(spot().alias("s")).groupBy(F.shiftright("s", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits"))
+    set_words = words.toArrow()
+    bits = np.zeros(BITS >> 5, np.uint32)
+    bits[set_words.column("at").to_numpy()] = set_words.column("bits").to_numpy().astype(np.uint32)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((held[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)).select([0, 1])
+
+    marked = rows.select("id", "text", spot().alias("spot")).where("id is not null")
+    return marked.mapInArrow(run, marked.drop("spot").schema).join(ids, "id", "left_semi")
+
+
+def _sets(rows: DataFrame, k: int, signed: bool = False) -> DataFrame:
+    """``id, set``, or ``id, sig, bands, set``, of each text."""
     import pyspark.sql.pandas.types as arrow_types
 
-    out = StructType([StructField("id", rows.schema["id"].dataType), StructField("set", ArrayType(LongType()))])
+    out = StructType([StructField("id", rows.schema["id"].dataType), *(_SIGNED[2:] if signed else []), StructField("set", ArrayType(LongType()))])
     schema = arrow_types.to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, functions = WordHashes(), universal(BANDS * ROWS)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                sets = [shingle_set(t, k, hashes).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+                sets = [shingle_set(t, k, hashes) for t in part.column(1).to_pylist()]
+                more = []
+                if signed:
+                    _, sigs, keys = signatures(sets, functions, BANDS, ROWS)
+                    more = [pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *more, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema
+                )
 
     return rows.select("id", "text").mapInArrow(run, out)
 
@@ -153,16 +190,17 @@ def confirmed(pairs: DataFrame, base: DataFrame, rows: DataFrame, k: int) -> Dat
     kind = base.schema["id"].dataType
     hopeful = settle(near.select("a", "b", "sa", "sb").mapInArrow(_hopeful, StructType([StructField("a", kind), StructField("b", kind)])).distinct())
     named = hopeful.select(F.col("a").alias("id")).union(hopeful.select("b")).distinct()
-    sets = _sets(rows.join(named, "id", "left_semi"), k)
+    sets = _sets(_only(rows, named), k)
     both = hopeful.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("n", shared).where(F.col("n") * 100 >= (F.size("x") + F.size("y") - F.col("n")) * SIMILAR).select("a", "b").distinct()
 
 
-def links(base: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """``id, component`` of every class representative that is linked to another.  ``base``: one row per representative."""
-    bands = base.select("id", F.explode("bands").alias("key"))
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+def links(base: DataFrame, leading: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``id, component`` of every class representative that is linked to another.  ``base``: signed rows, ``leading``: the
+    representatives' ids."""
+    bands = base.select("id", "bands").join(leading, "id", "left_semi").select("id", F.explode("bands").alias("key"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").drop("x", "y")
     shared = settle(bands.join(sizes, "key"))
     # the member that shares most buckets with others is nearest to the middle of its group
     degrees = shared.groupBy("id").agg(F.sum("n").alias("degree"))
@@ -178,58 +216,113 @@ def open_links(shared: DataFrame, found: DataFrame, base: DataFrame, rows: DataF
     """Links ``a, b`` between members of one bucket that are in different components so far.
 
     Members outside a bucket's largest component are compared with all members of other components, in units of two blocks
-    of bounded size; a unit returns only links that join components.
+    of bounded size: signatures first, then full sets.  A unit returns only links that join components.
     """
     placed = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("c")).where("c > 1")
     open_rows = placed.join(mixed.drop("c"), "key").select("key", "id", "component", (F.col("component") != F.col("main")).alias("out"))
-    sized = open_rows.join(base.select("id", "n_shingles", "sig", "bands"), "id")
-    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    sized = sized.join(blocks, "key").withColumn("block", mine).drop("n_shingles")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # as outsider a row meets every block of members, as member it meets every block of outsiders
-    left = sized.where("out").select("*", F.lit(True).alias("asks"), F.col("block").alias("i"), F.explode(every).alias("j"))
-    right = sized.select("*", F.lit(False).alias("asks"), F.explode(every).alias("i"), F.col("block").alias("j"))
-    units = left.union(right).drop("out", "blocks", "block")
-    named = sized.select("id").distinct()
-    sets = _sets(rows.join(named, "id", "left_semi"), k)
-    dealt = units.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    open_rows = settle(open_rows.join(base.select("id", "n_shingles"), "id"))
     kind = base.schema["id"].dataType
-    out = StructType([StructField("a", kind), StructField("b", kind)])
-    return dealt.select("key", "i", "j", "id", "component", "asks", "sig", "bands", "set").mapInArrow(_test_units, out)
+    pairs = StructType([StructField("a", kind), StructField("b", kind)])
+    hopeful = _dealt(_units(open_rows), base.select("id", "sig")).mapInArrow(_in_units(hopeful_unit), pairs)
+    # pairs worth a full test meet in one cluster, so a set travels once and not with each bucket
+    clusters = settle(components(hopeful).toDF("id", "key"))
+    named = open_rows.select("id", "component", "n_shingles").distinct().join(clusters, "id")
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    members = settle(named.join(main, "key").withColumn("out", F.col("component") != F.col("main")))
+    signed = _sets(_only(rows, members.select("id").distinct()), k, signed=True).drop("bands")
+    return _dealt(_units(members), signed).mapInArrow(_in_units(test_unit), pairs)
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """``key, i, j, id, component, asks, answers``: the members' places in units.
+
+    A bucket's members are cut into blocks of about ``BLOCK`` shingles by hash; unit (i, j) has the outsiders of block i,
+    who ask, and all members of block j, who answer.
+    """
+    blocks = members.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = members.join(blocks, "key").withColumn("block", mine)
+    unit = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    asking = F.when(F.col("out"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: unit(F.col("block"), x)))
+    answering = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: unit(x, F.col("block")))
+    places = members.withColumn("unit", F.explode(F.array_distinct(F.concat(answering, F.coalesce(asking, F.slice(answering, 1, 0))))))
+    return places.select(
+        "key", "unit.i", "unit.j", "id", "component", (F.col("out") & (F.col("unit.i") == F.col("block"))).alias("asks"),
+        (F.col("unit.j") == F.col("block")).alias("answers"),
+    )
 
 
-def _test_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unit, held = None, []
+def _dealt(units: DataFrame, wide: DataFrame) -> DataFrame:
+    """The units' rows with what is known of each id; only this shuffle carries signatures and sets."""
+    return units.join(wide, "id").select("key", "i", "j", "id", "component", "asks", "answers", *wide.drop("id").columns).repartition(
+        "key", "i", "j"
+    ).sortWithinPartitions("key", "i", "j")
+
+
+def _in_units(work):
+    """Calls ``work(members)`` on the rows of each unit, which arrive one after another; gives pairs ``a, b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, ids = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if found := work(held):
+                yield pa.RecordBatch.from_arrays([pa.array(c, ids) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    def tested() -> Iterator[pa.RecordBatch]:
-        if found := test_unit(unit[0], held):
+        for batch in batches:
             ids = batch.schema.field(3).type
-            yield pa.RecordBatch.from_arrays([pa.array(c, ids) for c in zip(*found, strict=True)], names=["a", "b"])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                plain = [part.column(i).to_pylist() for i in range(8)]
+                for at, (key, i, j, *row) in enumerate(zip(*plain, strict=True)):
+                    if (key, i, j) != unit:
+                        if held:
+                            yield from done()
+                        unit, held = (key, i, j), []
+                    held.append((*row, part.column(8)[at].values.to_numpy()) if part.num_columns > 8 else tuple(row))
+        if held:
+            yield from done()
 
-    for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            part = batch.slice(start, SLICE)
-            columns = [part.column(i).to_pylist() for i in range(8)] + [part.column(8)]
-            for at, (key, i, j, *row) in enumerate(zip(*columns[:8], strict=True)):
-                if (key, i, j) != unit:
-                    if held:
-                        yield from tested()
-                    unit, held = (key, i, j), []
-                held.append((*row, columns[8][at].values.to_numpy()))
-    if held:
-        yield from tested()
-
-
-def test_unit(key: int, members: list[tuple]) -> list[tuple]:
-    """Links between askers and the others (``id, component, asks, sig, bands, set``) that join components.
-
-    A pair is tested in the first bucket it shares only, and while its members are not joined yet; the most promising
-    first.
+    return run
+
+
+def hopeful_unit(members: list[tuple]) -> list[tuple]:
+    """Pairs that tie each member (``id, component, asks, answers, sig``) to those elsewhere whose signatures agree.
+
+    All such pairs would do; a chain of first meetings ties the same members with fewer rows.
+    """
+    askers, others = [m for m in members if m[2]], [m for m in members if m[3]]
+    if not askers or not others:
+        return []
+    sigs = np.frombuffer(b"".join(m[4] for m in others), np.uint8).reshape(len(others), -1)
+    parts = np.unique([m[1] for m in askers + others], return_inverse=True)[1].reshape(-1)
+    top: dict = {}
+
+    def root(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    found = []
+    for (id, *_, sig), part in zip(askers, parts, strict=False):
+        near = ((sigs == np.frombuffer(sig, np.uint8)).sum(1) >= _least(sigs.shape[1])) & (parts[len(askers) :] != part)
+        for at in np.flatnonzero(near).tolist():
+            x, y = root(id), root(others[at][0])
+            if x != y:
+                top[x] = y
+                found.append((id, others[at][0]))
+    return found
+
+
+def test_unit(members: list[tuple]) -> list[tuple]:
+    """Links between askers and answerers (``id, component, asks, answers, sig, set``) that join components.
+
+    A pair is tested while its members are not joined yet, the most promising first.
     """
-    askers, others = [m for m in members if m[2]], [m for m in members if not m[2]]
+    askers, others = [m for m in members if m[2]], [m for m in members if m[3]]
     root: dict = {}
 
     def top(x):
@@ -239,17 +332,14 @@ def test_unit(key: int, members: list[tuple]) -> list[tuple]:
 
     if not askers or not others:
         return []
-    sigs = np.frombuffer(b"".join(m[3] for m in others), np.uint8).reshape(len(others), -1)
-    bands = np.array([m[4] for m in others], np.int64)
+    sigs = np.frombuffer(b"".join(m[4] for m in others), np.uint8).reshape(len(others), -1)
     sizes = np.array([len(m[5]) for m in others])
     least = _least(sigs.shape[1])
     sets: dict[int, frozenset] = {}
     found = []
-    for id, component, _, sig, own_bands, own in askers:
+    for id, component, _, _, sig, own in askers:
         alike = (sigs == np.frombuffer(sig, np.uint8)).sum(1)
-        same = bands == np.array(own_bands, np.int64)
-        first = np.array(own_bands, np.int64)[same.argmax(1)] == key
-        near = (alike >= least) & first & (100 * np.minimum(sizes, len(own)) >= SIMILAR * np.maximum(sizes, len(own)))
+        near = (alike >= least) & (100 * np.minimum(sizes, len(own)) >= SIMILAR * np.maximum(sizes, len(own)))
         mine = None
         for at in sorted(np.flatnonzero(near), key=lambda x: -alike[x]):
             other, its = others[at][0], top(others[at][1])
@@ -276,8 +366,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHI
     base = settle(sign(rows, k))
     classes = base.where("id is not null and print is not null").groupBy("print").agg(F.min("id").alias("first"))
     leading = classes.select(F.col("first").alias("id")).distinct()
-    firsts = settle(base.where("print is not null").join(leading, "id", "left_semi").dropDuplicates(["id", "print"]))
-    joined = links(firsts, rows.where("id is not null"), k).toDF("first", "component")
+    joined = links(base.where("id is not null and print is not null"), leading, rows, k).toDF("first", "component")
     named = classes.join(joined, "first", "left").select(F.col("print").alias("p"), F.coalesce("component", "first").alias("component"))
     ids = base.where("id is not null").select("id", "print", "n_shingles")
     placed = ids.join(named, ids["print"] == named["p"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
