@@ -292,28 +292,25 @@ def _in_units(work):
 def hopeful_unit(members: list[tuple]) -> list[tuple]:
     """Pairs that tie each member (``id, component, asks, answers, sig``) to those elsewhere whose signatures agree.
 
-    All such pairs would do; a chain of first meetings ties the same members with fewer rows.
+    All such pairs would do; a chain of first meetings ties the same members with fewer rows.  A member is compared only
+    with members it is not tied to yet.
     """
-    askers, others = [m for m in members if m[2]], [m for m in members if m[3]]
-    if not askers or not others:
+    askers = [at for at, m in enumerate(members) if m[2]]
+    others = np.array([at for at, m in enumerate(members) if m[3]], np.int64)
+    if not askers or not len(others):
         return []
-    sigs = np.frombuffer(b"".join(m[4] for m in others), np.uint8).reshape(len(others), -1)
-    parts = np.unique([m[1] for m in askers + others], return_inverse=True)[1].reshape(-1)
-    top: dict = {}
-
-    def root(x):
-        while top.get(x, x) != x:
-            x = top[x]
-        return x
-
+    sigs = np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(len(members), -1)
+    least = _least(sigs.shape[1])
+    part = np.unique([m[1] for m in members], return_inverse=True)[1].reshape(-1)
+    tie = np.arange(len(members))
     found = []
-    for (id, *_, sig), part in zip(askers, parts, strict=False):
-        near = ((sigs == np.frombuffer(sig, np.uint8)).sum(1) >= _least(sigs.shape[1])) & (parts[len(askers) :] != part)
-        for at in np.flatnonzero(near).tolist():
-            x, y = root(id), root(others[at][0])
-            if x != y:
-                top[x] = y
-                found.append((id, others[at][0]))
+    for at in askers:
+        apart = others[(tie[others] != tie[at]) & (part[others] != part[at])]
+        near = apart[(sigs[apart] == sigs[at]).sum(1) >= least]
+        while len(near):
+            found.append((members[at][0], members[near[0]][0]))
+            tie[tie == tie[near[0]]] = tie[at]
+            near = near[tie[near] != tie[at]]
     return found
 
 
