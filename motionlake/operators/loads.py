@@ -20,6 +20,16 @@ WEEKLY_PLAN = [
 ]
 
 
+def _first_weight() -> list[Column]:
+    """Body weight on the earliest rep as ``first_weight``, and ``first_key`` to merge it by.
+
+    Reps of one instant are ordered by load, then by weight (missing ones first), so that the answer does not depend on
+    how rows are laid out.
+    """
+    key = F.struct("rep_ts", "load", "weight")
+    return [F.min(key).alias("first_key"), F.min(key)["weight"].alias("first_weight")]
+
+
 def load_stats(sprints: DataFrame) -> DataFrame:
     """One row per client and load; every per-athlete load figure derives from it."""
     return (
@@ -29,8 +39,7 @@ def load_stats(sprints: DataFrame) -> DataFrame:
             F.max("top_speed").alias("max_speed"),
             F.min("split_5").alias("best_split"),
             F.avg("max_accel").alias("mean_accel"),
-            F.min("rep_ts").alias("first_ts"),
-            F.min_by("weight", "rep_ts").alias("first_weight"),
+            *_first_weight(),
             *moment_columns("top_speed", "speed"),
         )
     )
@@ -107,10 +116,10 @@ def load_velocity_curve(sprints: DataFrame) -> DataFrame:
 def load_power(sprints: DataFrame) -> DataFrame:
     """Mean speed, mean acceleration and estimated power per client and load.
 
-    The body weight is the one on the client's earliest rep.
+    The body weight is the one on the client's earliest rep (of several, the one of the lightest load, then weight).
     """
     by_load = load_stats(sprints)
-    weights = by_load.groupBy("client").agg(F.min_by("first_weight", "first_ts").alias("weight"))
+    weights = by_load.groupBy("client").agg(F.min_by("first_weight", "first_key").alias("weight"))
     power = (F.col("weight") + F.col("load")) * F.col("mean_accel") * F.col("mean_speed")
     return (
         by_load.where("load is not null")
@@ -175,8 +184,7 @@ def session_loads(sprints: DataFrame) -> DataFrame:
         .agg(
             F.max("top_speed").alias("max_speed"),
             F.count(F.lit(1)).alias("sprints"),
-            F.min("rep_ts").alias("first_ts"),
-            F.min_by("weight", "rep_ts").alias("first_weight"),
+            *_first_weight(),
         )
     )
 
@@ -194,7 +202,7 @@ def _session_fits(sprints: DataFrame) -> DataFrame:
             F.regr_slope("max_speed", "load").alias("slope"),
             F.regr_intercept("max_speed", "load").alias("v0"),
             F.regr_r2("max_speed", "load").alias("r_squared"),
-            F.min_by("first_weight", "first_ts").alias("weight"),
+            F.min_by("first_weight", "first_key").alias("weight"),
         )
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,7 +42,10 @@ def similar_athletes(features: DataFrame, target, top_n: int = 3) -> DataFrame:
 
 
 def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, visitors: int = VISITORS) -> DataFrame:
-    """The ``top_n`` closest athletes of every athlete that has all metrics.  Exact, without pairing everyone.
+    """The ``top_n`` closest athletes of every athlete.  Exact, without pairing everyone.
+
+    A similarity with a missing metric on either side is NULL and comes last, in order of the partners' names, as in
+    :func:`similar_athletes`.
 
     1. Athletes with equal metrics share one spot that names its ``top_n + 1`` first athletes; more of them can
        never be needed.
@@ -61,7 +64,8 @@ def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, vis
     def chunks(n: int, size: int = CHUNK) -> list[slice]:
         return [slice(i, i + size) for i in range(0, n, size)]
 
-    complete = features.select("client", *dims).dropna()
+    features = settle(features.select("client", *dims))
+    complete = features.dropna()
     kind = complete.schema["client"].dataType.simpleString()
     first = F.row_number().over(W.partitionBy(*dims).orderBy("client"))
     spots = settle(
@@ -127,7 +131,7 @@ def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, vis
         .where(F.col("_k") <= need)
         .drop("_k")
     )
-    return (
+    measured = (
         complete.join(candidates, dims)
         .where("client <> partner")
         .withColumn("rank", F.row_number().over(W.partitionBy("client").orderBy(*by_distance)))
@@ -141,3 +145,34 @@ def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, vis
             F.col("s_best_split").alias("best_split"),
         )
     )
+    return measured.union(_unmeasured(features, top_n))
+
+
+def _unmeasured(features: DataFrame, top_n: int) -> DataFrame:
+    """Rows with NULL similarity: all partners of an athlete without some metric, and the last ones of other athletes
+    where fewer than ``top_n`` others have all metrics.  Only the first few names of either kind can be partners."""
+    whole = F.lit(True)
+    for m in SIMILARITY_METRICS:
+        whole = whole & F.col(m).isNotNull()
+
+    def first_names(rows: DataFrame, n: int) -> Column:
+        partner = F.struct(F.col("client").alias("partner"), "max_speed", "best_split")
+        return rows.orderBy("client").limit(n).agg(F.array_sort(F.collect_list(partner)).alias("p")).scalar()
+
+    others = features.where(whole).agg((F.count(F.lit(1)) - 1).cast("int")).scalar()
+    known = features.select(
+        "client", whole.alias("_whole"), others.alias("_others"), first_names(features, top_n + 1).alias("_anyone"),
+        first_names(features.where(~whole), top_n).alias("_gaps"),
+    )
+    own = F.slice(F.filter("_anyone", lambda x: x["partner"] != F.col("client")), 1, top_n)
+    rest = F.slice("_gaps", F.lit(1), F.greatest(F.lit(0), F.lit(top_n) - F.col("_others")))
+    before = F.when(F.col("_whole"), F.col("_others")).otherwise(F.lit(0))
+    partners = F.posexplode(F.when(F.col("_whole"), rest).otherwise(own)).alias("_i", "_p")
+    return known.select("client", before.alias("_before"), partners).select(
+        "client",
+        (F.col("_before") + F.col("_i") + 1).cast("int").alias("rank"),
+        F.col("_p.partner").alias("partner"),
+        F.lit(None).cast("double").alias("similarity"),
+        F.col("_p.max_speed").alias("max_speed"),
+        F.col("_p.best_split").alias("best_split"),
+    )

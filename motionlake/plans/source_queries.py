@@ -148,6 +148,53 @@ def _(t: Tables):
     return raw.select("event_id", session.alias("session_ts"), F.to_date(session).alias("session_date"))
 
 
+def _mixed_times(t: Tables):
+    """Sprint-like rows whose time is written by the device, as ISO, or not at all."""
+    kind = F.col("event_id") % 3
+    text = (
+        F.when(kind == 0, F.concat(F.date_format("ts", "M/d/yyyy h:mm:ss a"), F.lit(" -05:00")))
+        .when(kind == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .otherwise("not a time")
+    )
+    speed = F.when(F.col("event_id") % 5 != 0, F.col("value").cast("string"))
+    return t.table("events").select(
+        F.col("user_id").cast("string").alias("Client"), text.alias("SessionTime"), speed.alias("TopSpeed")
+    )
+
+
+@query(
+    "a13_mixed_formats",
+    sql="""
+    select user_id as client, count(*) as sprints, count(distinct cast(ts as date)) as dates,
+           max(date_trunc('second', ts)) as last_session
+    from events where event_id % 3 <> 2 and event_id % 5 <> 0 and value is not null group by user_id
+    """,
+)
+def _(t: Tables):
+    return (
+        files.clean_sprints(_mixed_times(t))
+        .groupBy(F.col("client").cast("bigint").alias("client"))
+        .agg(
+            F.count(F.lit(1)).alias("sprints"),
+            F.countDistinct("session_date").alias("dates"),
+            F.max("session_ts").alias("last_session"),
+        )
+    )
+
+
+@query(
+    "a13_rejected_rows",
+    sql="""
+    select count(*) as rows, count(*) filter (where event_id % 3 = 2) as without_date,
+           count(*) filter (where event_id % 3 <> 2 and (event_id % 5 = 0 or value is null)) as without_speed,
+           count(*) filter (where event_id % 3 <> 2 and event_id % 5 <> 0 and value is not null) as kept
+    from events
+    """,
+)
+def _(t: Tables):
+    return files.rejected_sprints(_mixed_times(t))
+
+
 @query(
     "a13_general_dates",
     sql="select o_orderkey, case when o_orderkey % 6 = 5 then null else cast(o_orderdate as date) end as test_date from orders",

@@ -313,6 +313,28 @@ def _(t: Tables):
     return similarity.similar_to_each(loads.athlete_features(t.sprints))
 
 
+@query(
+    "h04_similar_to_each_with_gaps",
+    sql=f"""
+    with {_FEATURES},
+    known as (select * replace (case when client % 7 = 0 then null else best_split end as best_split) from features),
+    gaps as (
+      select t.client, f.client as partner, f.max_speed, f.best_split,
+             (f.max_speed - t.max_speed) ** 2 + (f.avg_speed - t.avg_speed) ** 2 + (f.best_split - t.best_split) ** 2 as d
+      from known t join known f on t.client <> f.client),
+    ranked as (select *, cast(row_number() over (partition by client order by d nulls last, partner) as int) as rank from gaps)
+    select client, rank, partner, 100 / (1 + sqrt(d) / sqrt(3)) as similarity, max_speed, best_split
+    from ranked where rank <= 3
+    """,
+    similarity=5, max_speed=6, best_split=6,
+)
+def _(t: Tables):
+    from pyspark.sql import functions as F
+
+    known = loads.athlete_features(t.sprints).withColumn("best_split", F.when(F.col("client") % 7 != 0, F.col("best_split")))
+    return similarity.similar_to_each(known)
+
+
 @query(
     "h06_load_velocity_curve",
     sql=f"""
@@ -333,11 +355,14 @@ def _(t: Tables):
     return loads.load_velocity_curve(t.sprints)
 
 
-_OPTIMAL = """
+_FIRST_WEIGHT = "first(weight order by rep_ts nulls first, load nulls first, weight nulls first)"
+_OPTIMAL = f"""
+    weights as (select client, {_FIRST_WEIGHT} as weight from sprints group by client),
     per_load as (
-      select client, load, (first(weight order by rep_ts) + load) * avg(max_accel) * avg(top_speed) as power,
-             avg(top_speed) as mean_speed, avg(max_accel) as mean_accel
-      from sprints where load is not null group by client, load),
+      select s.client, s.load, any_value(w.weight) as weight,
+             (any_value(w.weight) + s.load) * avg(s.max_accel) * avg(s.top_speed) as power,
+             avg(s.top_speed) as mean_speed, avg(s.max_accel) as mean_accel
+      from sprints s join weights w on s.client = w.client where s.load is not null group by s.client, s.load),
     ranked as (
       select *, row_number() over (partition by client order by power desc, load) as k from per_load),
     optimal as (
@@ -366,7 +391,7 @@ def _(t: Tables):
 @query(
     "h07_load_power",
     sql=f"""with {_OPTIMAL}
-    select p.client, p.load, 70.0::double + p.client % 30 as weight, mean_speed, mean_accel, power from per_load p""",
+    select client, load, weight, mean_speed, mean_accel, power from per_load""",
     mean_speed=5, mean_accel=5, power=3,
 )
 def _(t: Tables):
@@ -492,7 +517,8 @@ def _(t: Tables):
     return athletes.injury_risk(t.sprints).withColumn("risk_factors", F.concat_ws("; ", "risk_factors"))
 
 
-_FV = """
+_FV = f"""
+    weights as (select client, session_date, {_FIRST_WEIGHT} as weight from sprints group by client, session_date),
     points as (
       select client, session_date, load, max(top_speed) as v from sprints where load is not null
       group by client, session_date, load),
@@ -501,9 +527,10 @@ _FV = """
              min(load) as low, max(load) as high from sprints
       group by client, session_date having count(distinct load) >= 2),
     fits as (
-      select client, session_date, count(*) as n_points, regr_slope(v, load) as slope, regr_intercept(v, load) as v0,
-             corr(v, load) ** 2 as r_squared, 70.0::double + client % 30 as weight
-      from points group by client, session_date having count(*) >= 2),
+      select p.client, p.session_date, count(*) as n_points, regr_slope(v, load) as slope, regr_intercept(v, load) as v0,
+             corr(v, load) ** 2 as r_squared, any_value(w.weight) as weight
+      from points p join weights w on p.client = w.client and p.session_date = w.session_date
+      group by p.client, p.session_date having count(*) >= 2),
     profiles as (
       select client, session_date, v0, -v0 / slope as f0_load, (weight - v0 / slope) * 9.81::double as f0_newtons,
              (weight - v0 / slope) * 9.81::double * v0 / 4 as pmax, slope, r_squared, weight, n_points

@@ -32,7 +32,7 @@ _SPRINTS = {
     "split_5": "l_quantity / 50 + 0.9",
     "load": "round(l_discount * 100)",
     "ecc_load": "case when l_returnflag = 'R' then null else l_quantity end",
-    "weight": "cast(70 + l_suppkey % 30 as double)",
+    "weight": "cast(70 + l_suppkey % 30 + l_linenumber as double)",
     "side": _SIDE,
     "set_id": "l_orderkey",
     "set_no": "l_linenumber",

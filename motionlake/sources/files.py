@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cleaning import (
@@ -19,7 +19,7 @@ from .cleaning import (
     trim_headers,
     unpivot_tests,
 )
-from .layout import detect_layout, header_decides
+from .layout import detect_layout
 
 # fixed values: sprint file header -> column used by the operators
 SPRINT_COLUMNS = {
@@ -52,50 +52,58 @@ def read_text_table(spark: SparkSession, path: str | Sequence[str], multi_line:
     )
 
 
-def _numeric_columns(sample: DataFrame) -> int:
-    """Columns in which every present value of the sample is a number."""
-    checks = [
-        (F.count(quoted(c)) == F.count(quoted(c).try_cast("double"))).alias(f"c{i}")
-        for i, c in enumerate(sample.columns)
-    ]
-    return sum(sample.agg(*checks).first())
-
-
-def layout_of(df: DataFrame) -> str:
-    """Layout of a text table; data is touched only when the header leaves it open, and then 1000 rows at most."""
-    if header_decides(df.columns):
-        return detect_layout(df.columns)
-    sample = df.limit(1000)
-    return detect_layout(df.columns, _numeric_columns(sample), sample.count())
+def layout_of(df: DataFrame, layout: str | None = None) -> str:
+    """Layout of a text table: the caller's word, or else what the header says.  No data is read."""
+    if layout not in (None, "long", "wide"):
+        raise ValueError("layout is 'long' or 'wide'")
+    found = layout or detect_layout(df.columns)
+    if found is None:
+        raise ValueError("the header leaves the layout open; pass layout='long' or layout='wide'")
+    return found
 
 
 def read_measures(
-    spark: SparkSession, path: str | Sequence[str], default_ts: datetime | None = None, with_test_id: bool = False
+    spark: SparkSession,
+    path: str | Sequence[str],
+    default_ts: datetime | None = None,
+    with_test_id: bool = False,
+    layout: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Jump file of either layout as the long ``measures`` table."""
-    raw = read_text_table(spark, path)
-    long = unpivot_tests(raw, with_test_id) if layout_of(raw) == "wide" else raw
+    raw = read_text_table(spark, path, multi_line)
+    long = unpivot_tests(raw, with_test_id) if layout_of(raw, layout) == "wide" else raw
     return as_measures(clean_measures(long, default_ts))
 
 
+def _session_time() -> Column:
+    """Session time of one row: the device format, or else any general one; rows of both may share a folder."""
+    text = F.col("SessionTime").cast("string")
+    return F.coalesce(session_timestamp(text), general_timestamp(text))
+
+
+def rejected_sprints(raw: DataFrame) -> DataFrame:
+    """One row on what :func:`clean_sprints` leaves out: ``rows, without_date, without_speed`` (dated ones), ``kept``."""
+    df = trim_headers(raw)
+    dated, speed = _session_time().isNotNull(), number_column(df, "TopSpeed").isNotNull()
+    return df.select(dated.alias("dated"), speed.alias("speed")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.col("dated")).alias("without_date"),
+        F.count_if(F.col("dated") & ~F.col("speed")).alias("without_speed"),
+        F.count_if(F.col("dated") & F.col("speed")).alias("kept"),
+    )
+
+
 def clean_sprints(raw: DataFrame) -> DataFrame:
     """Sprint rows with a session date and a speed, under the names the operators use.
 
-    The yard split stands in, unconverted, for a missing metre split.  When the device time format fits no row
-    at all, the original text is parsed generally; when that fails too the file is rejected.
+    The yard split stands in, unconverted, for a missing metre split.  Each row's time is read in the device format or
+    else generally; :func:`rejected_sprints` counts the rows without one.
     """
     df = trim_headers(raw)
     if SPLIT_YARDS in df.columns and SPLIT not in df.columns:
         df = df.withColumn(SPLIT, quoted(SPLIT_YARDS))
-    text = F.col("SessionTime").cast("string")
-    device, general = session_timestamp(text), general_timestamp(text)
-    # each check stops at the first row that parses
-    parsed = device
-    if df.where(device.isNotNull()).isEmpty():
-        parsed = general
-        if df.where(general.isNotNull()).isEmpty():
-            raise ValueError("no date in column SessionTime could be parsed")
-    df = df.withColumn("session_ts", parsed)
+    df = df.withColumn("session_ts", _session_time())
     columns = [
         (quoted(source) if source in _TEXT_COLUMNS else number_column(df, source)).alias(target)
         for source, target in SPRINT_COLUMNS.items()
@@ -118,8 +126,12 @@ def clean_sprints(raw: DataFrame) -> DataFrame:
     ).where("session_date is not null and top_speed is not null")
 
 
-def read_sprints(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return clean_sprints(read_text_table(spark, path))
+def read_sprints(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+    """Sprint files; files without any date are rejected, a check that stops at the first row with one."""
+    raw = read_text_table(spark, path, multi_line)
+    if trim_headers(raw).where(_session_time().isNotNull()).isEmpty():
+        raise ValueError("no date in column SessionTime could be parsed")
+    return clean_sprints(raw)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -8,19 +8,11 @@ from dataclasses import dataclass
 from ..functions import rules
 
 
-def detect_layout(headers: Sequence[str], numeric_columns: int = 0, rows: int | None = None) -> str:
-    """``long`` or ``wide``.
-
-    ``numeric_columns`` and ``rows`` matter only when the header itself does not decide: a file of more than
-    ten numeric columns and fewer than 1000 rows counts as wide.
-    """
-    names = set(headers)
-    if len(names & rules.LONG_HEADERS) >= 3:
+def detect_layout(headers: Sequence[str]) -> str | None:
+    """``long`` or ``wide``, or None where the header leaves it open; never a matter of how many rows there are."""
+    if len(set(headers) & rules.LONG_HEADERS) >= 3:
         return "long"
-    if header_is_wide(headers):
-        return "wide"
-    small = rows is not None and rows < 1000
-    return "wide" if numeric_columns > 10 and small else "long"
+    return "wide" if header_is_wide(headers) else None
 
 
 def header_is_wide(headers: Sequence[str]) -> bool:
@@ -34,10 +26,6 @@ def header_is_wide(headers: Sequence[str]) -> bool:
     )
 
 
-def header_decides(headers: Sequence[str]) -> bool:
-    return len(set(headers) & rules.LONG_HEADERS) >= 3 or header_is_wide(headers)
-
-
 def standard_headers(headers: Sequence[str]) -> dict[str, list[str]]:
     """Target header -> its source headers, in file order of first appearance.
 

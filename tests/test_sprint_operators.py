@@ -126,12 +126,36 @@ def test_similar_to_each_matches_brute_force(spark, block, visitors):
     for c, *x in whole:
         near = sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), d) for d, *y in whole if d != c)[:3]
         want[c] = [(d, pytest.approx(100 / (1 + math.sqrt(q) / math.sqrt(3)))) for q, d in near]
+    want["part"] = [("c000", None), ("c001", None), ("c002", None)]
     got = {}
     for r in similarity.similar_to_each(df, 3, block, visitors).orderBy("client", "rank").collect():
         got.setdefault(r.client, []).append((r.partner, r.similarity))
     assert got == want
 
 
+def test_similar_to_each_with_few_complete_athletes(spark):
+    rows = [("a", 7.0, 6.0, 1.0), ("b", 7.0, 6.0, 1.0), ("c", None, 6.0, 1.0), ("d", 8.0, 6.0, 1.0), ("e", 8.0, 6.0, None)]
+    df = spark.createDataFrame(rows, "client string, max_speed double, avg_speed double, best_split double")
+    got = {}
+    for r in similarity.similar_to_each(df).orderBy("client", "rank").collect():
+        got.setdefault(r.client, []).append((r.rank, r.partner, r.similarity is None))
+    assert got["a"] == [(1, "b", False), (2, "d", False), (3, "c", True)] == [(k, n.replace("a", "b"), x) for k, n, x in got["b"]]
+    assert got["c"] == [(1, "a", True), (2, "b", True), (3, "d", True)]
+    assert got["e"] == [(1, "a", True), (2, "b", True), (3, "c", True)]
+    assert [n for _, n, _ in got["d"]] == ["a", "b", "c"]
+    for client in "abd":
+        assert [n for _, n, _ in got[client]] == [r.client for r in similarity.similar_athletes(df, client).collect()]
+    assert similarity.similar_to_each(df.where("client = 'c'")).count() == 0 == similarity.similar_to_each(df.limit(0)).count()
+
+
+def test_weight_of_tied_reps_does_not_depend_on_layout(spark):
+    rows = [sprint(load=10 * (1 + i % 4), weight=95 - i % 9, speed=8 - i % 4) for i in range(60)]
+    for n in (1, 3, 11):
+        df = sprints(spark, rows).repartition(n)
+        assert {r.weight for r in loads.load_power(df).collect()} == {87.0}
+        assert {r.weight for r in loads.force_velocity_profiles(df).collect()} == {87.0}
+
+
 def test_power_and_zones(spark):
     df = sprints(spark, [
         sprint(rep=5, speed=8, accel=4, load=10, weight=90), sprint(rep=1, speed=6, accel=4, load=30, weight=70),
