@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from motionlake.session import settle
+
 #: Words of the contract: runs without ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]++"
@@ -129,6 +131,21 @@ def id_type(df: DataFrame, name: str):
     return df.schema[name].dataType
 
 
+def compact(df: DataFrame, rows: int, per_task: int = 250_000) -> DataFrame:
+    """``df`` of about ``rows`` small rows in tasks of ``per_task``, but one for each core at least.
+
+    A shuffle writes files for each of its tasks, so steps over few rows in many partitions would fill disks with almost
+    empty files.  Rows are not moved.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read in tasks that its row count asks for."""
+    df = settle(df)
+    return compact(df, df.count())
+
+
 def delete_path(spark, path: str) -> None:
     """Remove a folder that this package wrote in the shared folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

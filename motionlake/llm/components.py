@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from motionlake.session import settle
 
+from .common import compact, settled
+
 
 def _pairs(edges: DataFrame, high, low) -> DataFrame:
     return edges.select(high.alias("u"), low.alias("v")).where("u <> v").distinct()
@@ -22,17 +24,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star hangs each node's larger neighbours on its smallest neighbour, small-star its smaller ones; the forest gets
     flat in a logarithmic number of rounds.  Minima are taken in each task first and the joins on a node with many edges
-    are split by adaptive execution.  Every round is written to the shared folder.  Edges with a null end are left out.
+    are split by adaptive execution.  Every round is written to the shared folder, in as many
+    tasks as its rows ask for.  Edges with a null end are left out.
     """
-    edges = settle(_pairs(edges, F.greatest(a, b), F.least(a, b)))
+    edges = settled(_pairs(edges, F.greatest(a, b), F.least(a, b)))
     state = _state(edges)
     while state[0]:
+        n = state[0]
         both = edges.union(edges.select("v", "u"))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _pairs(both.join(smallest, "u").where("v > u"), F.col("v"), F.col("m"))
+        large = compact(_pairs(both.join(smallest, "u").where("v > u"), F.col("v"), F.col("m")), n)
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(smallest, "u").where("v <> m").select("v", "m")
-        edges = settle(_pairs(moved.union(smallest.select("u", "m")).toDF("x", "y"), F.col("x"), F.col("y")))
+        edges = _pairs(moved.union(compact(smallest.select("u", "m"), n)).toDF("x", "y"), F.col("x"), F.col("y"))
+        edges = settle(compact(edges, 2 * n))
         before, state = state, _state(edges)
         if state == before:
             break

@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from motionlake.session import settle
 
-from .common import SLICE, WORD, WordHashes, ascii_lower, field, fresh
+from .common import SLICE, WORD, WordHashes, ascii_lower, field, fresh, settled
 from .components import components
 
 #: Links: 100 * intersection >= SIMILAR * union.
@@ -188,7 +188,7 @@ def confirmed(pairs: DataFrame, base: DataFrame, rows: DataFrame, k: int) -> Dat
     one, two = small.toDF("a", "na", "sa"), small.toDF("b", "nb", "sb")
     near = pairs.join(one, "a").join(two, "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % SIMILAR)
     kind = base.schema["id"].dataType
-    hopeful = settle(near.select("a", "b", "sa", "sb").mapInArrow(_hopeful, StructType([StructField("a", kind), StructField("b", kind)])).distinct())
+    hopeful = settled(near.select("a", "b", "sa", "sb").mapInArrow(_hopeful, StructType([StructField("a", kind), StructField("b", kind)])).distinct())
     named = hopeful.select(F.col("a").alias("id")).union(hopeful.select("b")).distinct()
     sets = _sets(_only(rows, named), k)
     both = hopeful.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -201,13 +201,13 @@ def links(base: DataFrame, leading: DataFrame, rows: DataFrame, k: int) -> DataF
     representatives' ids."""
     bands = base.select("id", "bands").join(leading, "id", "left_semi").select("id", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").drop("x", "y")
-    shared = settle(bands.join(sizes, "key"))
+    shared = settled(bands.join(sizes, "key"))
     # the member that shares most buckets with others is nearest to the middle of its group
     degrees = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     leaders = shared.join(degrees, "id").groupBy("key").agg(F.max(F.struct("degree", "id"))["id"].alias("leader"))
     led = shared.select("key", "id").join(leaders, "key").where("id <> leader")
     star = led.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
-    found = settle(components(confirmed(star, base, rows, k)))
+    found = settled(components(confirmed(star, base, rows, k)))
     more = open_links(shared.select("key", "id"), found, base, rows, k)
     return components(more.union(found.select("id", "component")))
 
@@ -222,16 +222,16 @@ def open_links(shared: DataFrame, found: DataFrame, base: DataFrame, rows: DataF
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("c")).where("c > 1")
     open_rows = placed.join(mixed.drop("c"), "key").select("key", "id", "component", (F.col("component") != F.col("main")).alias("out"))
-    open_rows = settle(open_rows.join(base.select("id", "n_shingles"), "id"))
+    open_rows = settled(open_rows.join(base.select("id", "n_shingles"), "id"))
     kind = base.schema["id"].dataType
     pairs = StructType([StructField("a", kind), StructField("b", kind)])
     hopeful = _dealt(_units(open_rows), base.select("id", "sig")).mapInArrow(_in_units(hopeful_unit), pairs)
     # pairs worth a full test meet in one cluster, so a set travels once and not with each bucket
-    clusters = settle(components(hopeful).toDF("id", "key"))
+    clusters = settled(components(hopeful).toDF("id", "key"))
     named = open_rows.select("id", "component", "n_shingles").distinct().join(clusters, "id")
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    members = settle(named.join(main, "key").withColumn("out", F.col("component") != F.col("main")))
+    members = settled(named.join(main, "key").withColumn("out", F.col("component") != F.col("main")))
     signed = _sets(_only(rows, members.select("id").distinct()), k, signed=True).drop("bands")
     return _dealt(_units(members), signed).mapInArrow(_in_units(test_unit), pairs)
 
