@@ -239,9 +239,13 @@ def exported(analysis: ComponentAnalysis, k: int = 3) -> DataFrame:
     return export_table(cluster_entities(analysis, k))
 
 
+#: Covered metrics, and entities, that an analysis takes at least.
+LEAST_COVERED = 3
+
+
 @dataclass(frozen=True)
 class GatedAnalysis:
-    """Result of :func:`gated_analysis`; without enough data only ``status`` is set."""
+    """Result of :func:`gated_analysis`; without enough data only ``status`` is set (see :func:`gate`)."""
 
     status: str
     matrix: Matrix | None = None
@@ -259,22 +263,37 @@ def covered_metrics(means: DataFrame, asked: int) -> DataFrame:
     )
 
 
+def _asked(measures: DataFrame, entities: Sequence | DataFrame | None) -> int:
+    if entities is None:
+        return measures.where("entity is not null").select("entity").distinct().count()
+    return entities.select("entity").distinct().count() if isinstance(entities, DataFrame) else len(entities)
+
+
+def _gate_status(metrics: int, entities: int) -> str:
+    return "too_few_metrics" if metrics < LEAST_COVERED else "too_few_entities" if entities < LEAST_COVERED else "ok"
+
+
+def gate(
+    measures: DataFrame, metrics: Sequence[str] | DataFrame, entities: Sequence | DataFrame | None = None
+) -> DataFrame:
+    """One row: ``status`` (ok, too_few_metrics, too_few_entities), covered ``metrics`` and ``entities`` with a mean."""
+    means = settle(selected_means(measures, listed(metrics), entities))
+    n_metrics = covered_metrics(means, _asked(measures, entities)).count()
+    n_entities = means.select("entity").distinct().count()
+    row = (_gate_status(n_metrics, n_entities), n_metrics, n_entities)
+    return measures.sparkSession.createDataFrame([row], "status string, metrics long, entities long")
+
+
 def gated_analysis(
     measures: DataFrame, metrics: Sequence[str] | DataFrame, k: int = 3, entities: Sequence | DataFrame | None = None
 ) -> GatedAnalysis:
     """Components and clusters on metrics that at least half of the entities (and three) have."""
     means = settle(selected_means(measures, listed(metrics), entities))
     kept = means.select("entity").distinct()
-    if entities is None:
-        asked = measures.where("entity is not null").select("entity").distinct().count()
-    else:
-        asked = entities.select("entity").distinct().count() if isinstance(entities, DataFrame) else len(entities)
-    valid = listed(covered_metrics(means, asked))
-    if len(valid) < 3:
-        return GatedAnalysis(f"Insufficient data: Only {len(valid)} metrics have adequate coverage")
+    valid = listed(covered_metrics(means, _asked(measures, entities)))
     n = kept.count()
-    if n < 3:
-        return GatedAnalysis(f"Insufficient athletes: Only {n} athletes have adequate data")
+    if (status := _gate_status(len(valid), n)) != "ok":
+        return GatedAnalysis(status)
     matrix = complete_matrix(means.where(F.col("metric").isin(valid)), kept)
     found = spectrum(matrix)
     size = min(3, len(valid), n)

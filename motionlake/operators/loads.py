@@ -271,6 +271,7 @@ def profile_shift(sprints: DataFrame, sessions: int = 3) -> DataFrame:
         changes[f"{short}_change"] = delta
         changes[f"{short}_change_pct"] = percent(delta, F.col(f"_first_{name}"))
     v0, f0, pmax = (F.col(f"{m}_change_pct") for m in ("v0", "f0", "pmax"))
+    # fixed texts of the shift report
     notes = F.array_compact(
         F.array(
             F.when(v0 > 3, F.lit("Velocity capability improved")),

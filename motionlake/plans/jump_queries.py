@@ -6,7 +6,6 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..functions import rules
 from ..operators import clusters, components, matrix, profiles, quality, selection, sprint_clusters, trends
 from .registry import query
 from .sql_parts import normal_cdf, t_two_sided
@@ -97,24 +96,44 @@ def _(t: Tables):
     return selection.search_metrics(t.measures.select("metric").distinct(), "peak", "Power & Force")
 
 
-def _rule_sql(rule: rules.Rule) -> str:
-    include = " or ".join(f"contains(upper(metric), '{x}')" for x in rule.include) or "true"
-    parts = [f"({include})"]
-    parts += [f"not contains(upper(metric), '{x}')" for x in rule.exclude]
-    parts += [f"not contains(metric, '{x}')" for x in rule.exclude_as_written]
-    return " and ".join(parts)
+# The rules once more, written down for SQL on their own: position, label, names wanted, names unwanted (all upper case).
+_CATEGORIES = """
+    rule(position, category, wanted, unwanted) as (values
+      (0, 'power', 'POWER', null),
+      (1, 'force', 'FORCE', 'RFD'),
+      (2, 'velocity', 'VELOCITY|TAKEOFF', null),
+      (3, 'jump', 'JUMP|HEIGHT|RSI|MRSI|MOMENTUM', null),
+      (4, 'timing', 'TIME|DURATION|PHASE', null),
+      (5, 'rfd', 'RFD', null),
+      (6, 'impulse', 'IMPULSE', null),
+      (7, 'stiffness', 'STIFFNESS|DISPLACEMENT|DEPTH', null),
+      (8, 'landing', 'LANDING|STABILIZATION', null),
+      (9, 'asymmetry', 'L[|]R|LEFT|RIGHT|ASYM|INDEX', null),
+      (10, 'braking', 'BRAKING', 'RFD'),
+      (11, 'propulsive', 'PROPULSIVE', null))
+"""
 
+_FAMILIES = """
+    rule(position, family, wanted, unwanted) as (values
+      (0, 'All Performance Metrics', '', 'RESULT_TYPE|START_OF_MOVEMENT_THRESHOLD|START_OF_INTEGRATION'),
+      (1, 'Force Production', 'FORCE|WEIGHT_RELATIVE|BODYMASS_RELATIVE|BM_REL', 'RFD|RPD'),
+      (2, 'Power Output', 'POWER|VELOCITY_AT_PEAK_POWER', null),
+      (3, 'Speed/Velocity', 'VELOCITY|ACCELERATION', 'POWER'),
+      (4, 'Jump Mechanics', 'JUMP_HEIGHT|FLIGHT_TIME|RSI|STIFFNESS|DISPLACEMENT', null),
+      (5, 'Rate of Force Development', 'RFD|RPD', null),
+      (6, 'Impulse & Momentum', 'IMPULSE|MOMENTUM', null),
+      (7, 'Timing & Phases', 'TIME|DURATION|PHASE|BEGIN_|CONTRACTION', null),
+      (8, 'Ratios & Performance Indices', 'RATIO|RELATIVE|INDEX|_REL_|MODIFIED', 'FORCE|POWER|VELOCITY|IMPULSE'))
+"""
 
-def _labels_sql(labels: list[rules.Rule], name: str, source: str = "names") -> str:
-    return " union all ".join(
-        f"select metric, {i} as position, '{rule.label}' as {name} from {source} where {_rule_sql(rule)}"
-        for i, rule in enumerate(labels)
-    )
+_FITS = """regexp_matches(upper(n.metric), r.wanted)
+           and (r.unwanted is null or not regexp_matches(upper(n.metric), r.unwanted))"""
 
 
 @query(
     "b09_metric_categories",
-    sql=f"with names as (select distinct metric from measures) {_labels_sql(rules.CATEGORIES, 'category')}",
+    sql=f"""with {_CATEGORIES}, names as (select distinct metric from measures)
+           select n.metric, r.position, r.category from names n join rule r on {_FITS}""",
 )
 def _(t: Tables):
     return selection.metric_categories(t.measures.select("metric").distinct())
@@ -122,11 +141,9 @@ def _(t: Tables):
 
 @query(
     "b10_category_counts",
-    sql="with names as (select distinct metric from measures) "
-    + " union all ".join(
-        f"select {i} as position, '{r.label}' as category, count(*) as metrics from names where {_rule_sql(r)}"
-        for i, r in enumerate(rules.CATEGORIES)
-    ),
+    sql=f"""with {_CATEGORIES}, names as (select distinct metric from measures)
+           select r.position, r.category, count(n.metric) as metrics from rule r left join names n on {_FITS}
+           group by r.position, r.category""",
 )
 def _(t: Tables):
     return selection.category_counts(t.measures)
@@ -134,7 +151,8 @@ def _(t: Tables):
 
 @query(
     "b11_metric_families",
-    sql=f"with names as (select distinct upper(replace(metric, ' ', '_')) as metric from measures) {_labels_sql(rules.FAMILIES, 'family')}",
+    sql=f"""with {_FAMILIES}, names as (select distinct upper(replace(metric, ' ', '_')) as metric from measures)
+           select n.metric, r.position, r.family from names n join rule r on {_FITS}""",
 )
 def _(t: Tables):
     names = t.measures.select(F.upper(F.replace("metric", F.lit(" "), F.lit("_"))).alias("metric")).distinct()
@@ -154,7 +172,7 @@ _PROFILE = """
 @query(
     "b12_chosen_metrics",
     sql=f"""
-    with {_PROFILE}, labelled as ({_labels_sql(rules.CATEGORIES, 'category', 'profile')}),
+    with {_PROFILE}, {_CATEGORIES}, labelled as (select n.metric, r.category from profile n join rule r on {_FITS}),
     hits as (
       select metric, min(case category when 'jump' then 1 when 'power' then 2 else 3 end)::int as category_position
       from labelled where category in ('jump', 'power', 'asymmetry') group by metric)
@@ -347,7 +365,7 @@ def _(t: Tables):
     m = _order_matrix(t).varying()
     found = components.spectrum(m)
     limits = components.parallel_thresholds(t.spark, m.n, len(m.metrics))
-    rows = [(i, float(e), float(x), bool(e > x)) for i, (e, x) in enumerate(zip(found.eigenvalues, limits, strict=True))]
+    rows = [(i, float(e), float(x), bool(e > x)) for i, (e, x) in enumerate(zip(found.eigenvalues, limits, strict=False))]
     return t.spark.createDataFrame(rows, "rank int, eigenvalue double, threshold double, kept boolean")
 
 
@@ -486,6 +504,32 @@ def _(t: Tables):
     return clusters.covered_metrics(matrix.selected_means(t.measures_orders, METRIC_NAMES), everyone)
 
 
+_GATE = """
+    with means as (
+      select entity, metric from measures_orders where metric in ({metrics}) group by entity, metric having count(value) > 0),
+    covered as (
+      select metric from means group by metric
+      having count(*) >= greatest(3, 0.5 * (select count(distinct entity) from measures_orders))),
+    found as (select (select count(*) from covered) as metrics, (select count(distinct entity) from means) as entities)
+    select case when metrics < 3 then 'too_few_metrics' when entities < 3 then 'too_few_entities' else 'ok' end as status,
+           metrics, entities from found
+"""
+
+
+def _gate_sql(metrics: list[str]) -> str:
+    return _GATE.format(metrics=", ".join(f"'{m}'" for m in metrics))
+
+
+@query("d20_gate", sql=_gate_sql(METRIC_NAMES))
+def _(t: Tables):
+    return clusters.gate(t.measures_orders, METRIC_NAMES)
+
+
+@query("d20_gate_closed", sql=_gate_sql(METRIC_NAMES[:2]))
+def _(t: Tables):
+    return clusters.gate(t.measures_orders, METRIC_NAMES[:2])
+
+
 @query("d20_gated_analysis")
 def _(t: Tables):
     return clusters.gated_analysis(t.measures, METRIC_NAMES).labelled

@@ -179,9 +179,11 @@ def test_cluster_descriptions(spark, table, analysis):
 
 def test_gated_analysis(spark, long):
     few = clusters.gated_analysis(long.where("metric in ('m0', 'm1')"), ["m0", "m1", "m2"])
-    assert few.status == "Insufficient data: Only 2 metrics have adequate coverage" and few.labelled is None
+    assert few.status == "too_few_metrics" and few.labelled is None
+    closed = clusters.gate(long.where("metric in ('m0', 'm1')"), ["m0", "m1", "m2"])
+    assert [tuple(r) for r in closed.collect()] == [("too_few_metrics", 2, 30)]
     pair = measures(spark, [(e, m, 1, 0) for e in "ab" for m in METRICS])
-    assert clusters.gated_analysis(pair, METRICS).status.startswith("Insufficient data: Only 0")
+    assert clusters.gated_analysis(pair, METRICS).status == "too_few_metrics"
     sparse = long.where("metric <> 'm4' or entity < 'e10'")  # ten of thirty entities: below half
     ok = clusters.gated_analysis(sparse, METRICS, k=3)
     assert ok.status == "ok" and ok.matrix.metrics == ["m0", "m1", "m2", "m3"]
