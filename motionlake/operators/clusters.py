@@ -34,7 +34,8 @@ from .matrix import Matrix, complete_matrix, listed, selected_means
 
 SEED = 42
 RESTARTS = 10
-SILHOUETTE_BLOCK = 1024
+SILHOUETTE_BLOCK = 16_384
+SILHOUETTE_CHUNK = 64
 
 
 def kmeans_labels(points: DataFrame, id: str, columns: Sequence[str], k: int, restarts: int = RESTARTS) -> DataFrame:
@@ -61,26 +62,39 @@ def cluster_sizes(labelled: DataFrame) -> DataFrame:
 def distance_sums(labelled: DataFrame, id: str, columns: Sequence[str], block: int = SILHOUETTE_BLOCK) -> DataFrame:
     """Sum of Euclidean distances from every point to every cluster: (id, cluster, other, total).
 
-    The points are hashed into blocks of about ``block``; a task meets one block with another and returns sums
-    per cluster, never pairs.  Work is quadratic by definition of the measure, memory per task is not.
+    The points are hashed into blocks of about ``block``; each pair of blocks meets once, in a task that returns the sums
+    per cluster of both sides, never pairs.  Distances are formed ``SILHOUETTE_CHUNK`` rows at a time, so memory per task
+    is constant; a point travels ``n / block + 1`` times.  Work is quadratic by definition of the measure.
     """
-    dims = list(columns)
+    dims, chunk = list(columns), SILHOUETTE_CHUNK
     n = labelled.count()
     blocks = max(1, -(-n // block))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     own = F.pmod(F.hash(id), F.lit(blocks))
     base = labelled.select(id, F.col("cluster").cast("int").alias("cluster"), *dims)
     kind = base.schema[id].dataType.simpleString()
-    left = base.withColumns({"_a": own, "_b": everywhere})
-    right = base.withColumns({"_b": own, "_a": everywhere}).drop(id)
+    left = base.withColumn("_a", own).withColumn("_b", F.explode(F.sequence("_a", F.lit(blocks - 1))))
+    right = base.withColumn("_b", own).withColumn("_a", F.explode(F.sequence(F.lit(0), "_b")))
 
-    def meet(these: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, these: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
         x, y = these[dims].to_numpy(float), those[dims].to_numpy(float)
-        parts = []
-        for other, members in those.groupby("cluster").indices.items():
-            gaps = x[:, None, :] - y[None, members, :]
-            total = np.sqrt((gaps * gaps).sum(axis=2)).sum(axis=1)
-            parts.append(pd.DataFrame({id: these[id], "cluster": these["cluster"], "other": other, "total": total}))
+        kinds, at_x = np.unique(these["cluster"].to_numpy(), return_inverse=True)
+        others, at_y = np.unique(those["cluster"].to_numpy(), return_inverse=True)
+        in_x, in_y = np.eye(len(kinds))[at_x], np.eye(len(others))[at_y]
+        to_y, to_x = np.zeros((len(x), len(others))), np.zeros((len(y), len(kinds)))
+        for start in range(0, len(x), chunk):
+            part = slice(start, start + chunk)
+            squares = np.zeros((len(x[part]), len(y)))
+            for d in range(len(dims)):
+                squares += (x[part, d, None] - y[None, :, d]) ** 2
+            gaps = np.sqrt(squares)
+            to_y[part] = gaps @ in_y
+            to_x += gaps.T @ in_x[part]
+        sides = [(these, others, to_y)] + ([(those, kinds, to_x)] if key[0] != key[1] else [])
+        parts = [
+            pd.DataFrame({id: points[id], "cluster": points["cluster"], "other": other, "total": totals[:, j]})
+            for points, found, totals in sides
+            for j, other in enumerate(found)
+        ]
         return pd.concat(parts) if parts else pd.DataFrame(columns=[id, "cluster", "other", "total"])
 
     return (

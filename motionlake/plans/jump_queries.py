@@ -409,9 +409,7 @@ _POINTS = (
 )
 
 
-@query(
-    "d16_silhouette_given_labels",
-    sql=f"""
+_SILHOUETTE = f"""
     with {_POINTS},
     sizes as (select cluster, count(*) as size from points group by cluster),
     mean_gap as (
@@ -425,13 +423,19 @@ _POINTS = (
     select silhouette, case when silhouette < 0.25 then 'Poor' when silhouette < 0.5 then 'Fair'
            when silhouette < 0.75 then 'Good' else 'Excellent' end as quality,
            (select count(*) from sizes) as clusters, (select count(*) from points) as points from score
-    """,
-    silhouette=6,
-)
+    """
+
+
+@query("d16_silhouette_given_labels", sql=_SILHOUETTE, silhouette=6)
 def _(t: Tables):
     return clusters.silhouette_score(_thirds(t)[1], "entity", ["x0", "x1", "x2"])
 
 
+@query("d16_silhouette_many_blocks", sql=_SILHOUETTE, silhouette=6)
+def _(t: Tables):
+    return clusters.silhouette_score(_thirds(t)[1], "entity", ["x0", "x1", "x2"], block=24)
+
+
 @query(
     "d17_cluster_sizes_given_labels",
     sql="select cast(entity % 3 as int) as cluster, count(distinct entity) as size from measures group by 1",
