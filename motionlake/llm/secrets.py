@@ -2,9 +2,9 @@
 
 Base kinds (assign, access, hex) follow fixed rules and always stay.  Every other candidate - a run of 16 or more token
 characters with a letter and a digit - is judged by a small convolutional network in numpy that sees the characters of the
-candidate and around it.  It is trained on a bounded sample of the corpus (base findings against candidates that are
-plainly something else) and on generated tokens of public formats, then calibrated; the threshold
-finds ``RECALL`` of the validation secrets at least.  Scanning is a function of one text: no shuffle.
+candidate and around it.  It is trained on a bounded sample of the corpus (base findings against candidates whose form
+shows that they are something else) and on generated tokens of public formats, then calibrated; the threshold finds
+``RECALL`` of the validation secrets of every generated format at least.  Scanning is a function of one text: no shuffle.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ KINDS = (*BASE, LEARNED)
 SAMPLE = 1500
 GENERATED = 1500
 RECALL = 0.98
+#: Generated secrets of each format, and as many look-alikes, that set the threshold.
+JUDGED = 250
 #: Characters the network sees: before a candidate, of it, and after it.
 BEFORE, WITHIN, AFTER = 24, 48, 8
 SEED = 11
@@ -153,12 +155,12 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def threshold(probabilities: np.ndarray, labels: np.ndarray, recall: float = RECALL) -> float:
-    """Even odds, or the highest threshold that finds ``recall`` of the labelled secrets if that is lower or more precise."""
-    found = np.sort(probabilities[labels == 1])
-    if not len(found):
+def threshold(probabilities: np.ndarray, labels: np.ndarray, kinds: np.ndarray, recall: float = RECALL) -> float:
+    """Even odds, or the highest threshold that finds ``recall`` of the secrets of each kind if that is lower or more precise."""
+    if not (labels == 1).any():
         return 0.5
-    highest = float(found[int(np.floor(len(found) * (1 - recall)))])
+    found = [np.sort(probabilities[(labels == 1) & (kinds == k)]) for k in np.unique(kinds[labels == 1])]
+    highest = min(float(x[int(np.floor(len(x) * (1 - recall)))]) for x in found)
     false = lambda t: int((probabilities[labels == 0] >= t).sum())
     return min(highest, 0.5) if false(0.5) == 0 else highest
 
@@ -170,8 +172,12 @@ def _token(r: Random, alphabet: str, n: int) -> str:
     return "".join(r.choices(alphabet, k=n))
 
 
+#: Formats of generated secrets.
+FORMATS = 8
+
+
 def generated(n: int, seed: int = SEED) -> list[tuple[str, int]]:
-    """``n`` windows of tokens in public formats and ``n`` of look-alikes that are no secrets."""
+    """``n`` windows of tokens in public formats, which take turns, and ``n`` of look-alikes that are no secrets."""
     r = Random(seed)
     alnum, hexes, base64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     word = lambda: _token(r, "etaoinshrdlucmfw", r.randint(3, 9))
@@ -204,12 +210,42 @@ def generated(n: int, seed: int = SEED) -> list[tuple[str, int]]:
     return out
 
 
+_FORMAT = re.compile(
+    r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
+    r"|ISBN[-=]?[0-9Xx-]+"
+    r"|[0-9]{4}([-/_])[0-9]{2}\1[0-9]{2}(?:[T_-][0-9]{2}(?:-?[0-9]{2}){0,2}(?:Z|[+-][0-9]{2,4})?)?"  # date, or date and time
+)
+_JOINT = re.compile("[-_/+=]+")
+#: Words in one case or in camel case, then a number.
+_PART = re.compile(r"(?:[a-z]+(?:[A-Z][a-z]+)*|(?:[A-Z][a-z]+)+|[A-Z]+)?[0-9]*")
+_WORD_OF_PART = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+#: A word as it is spelled: no four consonants and no three vowels in a row.
+_SPELLED = re.compile(r"(?=.*[aeiouy])(?!.*[^aeiouy]{4})(?!.*[aeiou]{3})[a-z]{3,}", re.IGNORECASE)
+
+
+def plain(token: str) -> bool:
+    """Whether a candidate's form shows that it is no secret: a UUID, ISBN, date, or spelled words and numbers, joined.
+
+    One short part (``v`` of ``v1``) is let pass.  One run of letters of one case with digits is no evidence: keys are
+    written so too.  Drawn characters change between cases, digits and signs too often to look like several words.
+    """
+    if _FORMAT.fullmatch(token):
+        return True
+    parts = _JOINT.split(token)
+    if not all(map(_PART.fullmatch, parts)):
+        return False
+    words = [w for p in parts for w in _WORD_OF_PART.findall(p)]
+    spelled = sum(_SPELLED.fullmatch(w) is not None for w in words)
+    short = sum(len(w) < 3 for w in words)
+    return spelled > 1 and short < 2 and spelled + short == len(words) and sum(map(len, words)) * 2 >= len(token)
+
+
 def _labelled(text: str | None):
-    """Windows of base findings (1), and of candidates that touch none and look like words joined with digits (0)."""
+    """Windows of base findings (1), and of candidates that touch none and are plainly something else (0)."""
     base = base_spans(text or "")
     found = [(start, end, 1) for _, start, end in base]
     for start, end in candidates(text or ""):
-        if all(end <= a or b <= start for _, a, b in base) and len(_DIGIT.findall(text, start, end)) * 5 <= end - start:
+        if all(end <= a or b <= start for _, a, b in base) and plain(text[start:end]):
             found.append((start, end, 0))
     for start, end, label in found:
         seen = window(text, start, end)
@@ -234,8 +270,12 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     net = Network().fit(codes[~validation], labels[~validation])
     logits = net.logits(codes[validation])
     a, b = calibrate(logits, labels[validation])
-    probabilities = 1 / (1 + np.exp(-np.clip(a * logits + b, -30, 30)))
-    return {"weights": net.p, "slope": a, "offset": b, "threshold": threshold(probabilities, labels[validation])}
+    # base findings are never asked about, so only formats that the scan judges set the threshold
+    judged = generated(JUDGED * FORMATS, seed=SEED + 1)
+    z = a * net.logits(encode([seen for seen, _ in judged])) + b
+    kinds = np.arange(len(judged)) % FORMATS
+    found = threshold(1 / (1 + np.exp(-np.clip(z, -30, 30))), np.array([label for _, label in judged]), kinds)
+    return {"weights": net.p, "slope": a, "offset": b, "threshold": found}
 
 
 # ---- scan

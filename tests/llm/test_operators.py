@@ -350,6 +350,28 @@ def test_secrets(documents):
     assert [s.kind for s in found[1]] == ["learned"] and found[2] == []
 
 
+def test_secrets_corpus_negatives(documents):
+    """Drawn tokens outside base spans are no negatives; words, dates and UUIDs are."""
+    r = random.Random(12)
+    alnum = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    shapes = [("ghp_", alnum, 36), ("sk_live_", alnum, 24), ("glpat-", alnum + "_-", 20), ("AIza", alnum + "_-", 35), ("", alnum + "+/", 40), ("", alnum[:10] + alnum[36:], 32)]
+    for start, alphabet, n in shapes:
+        drawn = [start + "".join(r.choices(alphabet, k=n)) for _ in range(1000)]
+        assert sum(label == 0 for t in drawn for label, *_ in secrets._labelled(f"see {t} now")) <= 5
+    for t in ("some-article-name-2024", "v1/projects/production/services/12", "UserAccountManager42", "550e8400-e29b-41d4-a716-446655440000", "2024-05-12T10-30-00Z"):
+        assert [label for label, *_ in secrets._labelled(f"see {t} now")] == [0]
+    tokens = ["ghp_" + "".join(r.choices(alnum, k=36)) for _ in range(300)]
+    model = secrets.train(documents([(i, f"see {t} now") for i, t in enumerate(tokens)]))
+    scan = secrets.Scanner(model)
+    assert sum(bool(scan(f"see {t} now")) for t in tokens) >= 294
+
+
+def test_secrets_threshold_per_kind():
+    labels, kinds = np.array([1.0] * 100 + [0.0] * 50), np.array([0] * 90 + [1] * 10 + [0] * 50)
+    p = np.concatenate([np.full(90, 0.9), np.full(10, 0.3), np.full(50, 0.1)])
+    assert (p[90:100] >= secrets.threshold(p, labels, kinds, recall=0.9)).all()
+
+
 def test_network_gradients():
     net, r = secrets.Network(), np.random.default_rng(0)
     codes, labels = r.integers(0, 60, (4, secrets.LENGTH)), np.array([0.0, 1, 1, 0])
