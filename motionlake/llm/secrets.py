@@ -2,7 +2,7 @@
 
 Base kinds (assign, access, hex) follow fixed rules and always stay.  Every other candidate - a run of 16 or more token
 characters with a letter and a digit - is judged by a small convolutional network in numpy that sees the characters of the
-candidate and around it.  It is trained on a bounded sample of the corpus (base findings against candidates whose form
+candidate and around it; a long candidate is seen in overlapping pieces, and its likeliest piece counts.  It is trained on a bounded sample of the corpus (base findings against candidates whose form
 shows that they are something else) and on generated tokens of public formats, then calibrated; the threshold finds
 ``RECALL`` of the validation secrets of every generated format at least.  Scanning is a function of one text: no shuffle.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterator
+from itertools import islice
 from random import Random
 
 import numpy as np
@@ -30,8 +32,10 @@ GENERATED = 1500
 RECALL = 0.98
 #: Generated secrets of each format, and as many look-alikes, that set the threshold.
 JUDGED = 250
-#: Characters the network sees: before a candidate, of it, and after it.
+#: Characters the network sees: before a piece of a candidate, of it, and after it.
 BEFORE, WITHIN, AFTER = 24, 48, 8
+#: Pieces of a longer candidate begin so many characters apart.
+STEP = 16
 SEED = 11
 
 _ASSIGN = re.compile(
@@ -64,8 +68,16 @@ _CODES[[ord(c) for c in _ALPHABET]] = np.arange(2, len(_ALPHABET) + 2)
 LENGTH = BEFORE + WITHIN + AFTER
 
 
+def pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Overlapping pieces of a candidate, all of it covered; the last ends where it ends."""
+    last = max(start, end - WITHIN)
+    for at in range(start, last, STEP):
+        yield at, at + WITHIN
+    yield last, end
+
+
 def window(text: str, start: int, end: int) -> str:
-    """What the network sees: the end of what stands before, the candidate's beginning, the beginning of what follows."""
+    """What the network sees: the end of what stands before, the piece, the beginning of what follows."""
     inside = text[start : min(end, start + WITHIN)]
     return text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + inside.ljust(WITHIN, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
 
@@ -176,11 +188,13 @@ def _token(r: Random, alphabet: str, n: int) -> str:
 FORMATS = 8
 
 
-def generated(n: int, seed: int = SEED) -> list[tuple[str, int]]:
-    """``n`` windows of tokens in public formats, which take turns, and ``n`` of look-alikes that are no secrets."""
+def candidates_made(n: int, seed: int = SEED) -> Iterator[tuple[str, int, int, int, int]]:
+    """``n`` tokens in public formats, which take turns, and ``n`` look-alikes that are no secrets: the text, where the
+    candidate begins, where the token in it begins, where both end, and the label."""
     r = Random(seed)
     alnum, hexes, base64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     word = lambda: _token(r, "etaoinshrdlucmfw", r.randint(3, 9))
+    spoken = lambda: "".join(r.choice("bcdfghjklmnprstvwyz") + r.choice("aeiou") + r.choice(("", "", "n", "r", "s", "t")) for _ in range(r.randint(1, 5)))
     secret = [
         lambda: "ghp_" + _token(r, alnum, 36),
         lambda: "sk_live_" + _token(r, alnum, 24),
@@ -201,12 +215,29 @@ def generated(n: int, seed: int = SEED) -> list[tuple[str, int]]:
         lambda: f"{word()}{word()}{word()}{word()}{r.randint(0, 99)}",
         lambda: f"ISBN-{r.randint(100, 999)}-{r.randint(0, 9)}-{r.randint(100, 999)}-{r.randint(10000, 99999)}",
     ]
-    out = []
     for label, makers in ((1, secret), (0, plain)):
         for i in range(n):
             body = makers[i % len(makers)]()
+            # one in four stands at the end of a longer candidate
+            lead = ""
+            if i // len(makers) % 4 == 3:
+                joint = r.choice(("/", "_", "-"))
+                lead = joint.join(spoken() for _ in range(r.randint(3, 12))) + r.choice(("=", joint))
+                lead = lead.upper() if r.random() < 0.5 else lead
             before = " ".join(word() for _ in range(4)) + r.choice((" ", " key ", " = ", ': "', " "))
-            out.append((window(before + body + f" {word()} {word()}", len(before), len(before) + len(body)), label))
+            start = len(before)
+            yield before + lead + body + f" {word()} {word()}", start, start + len(lead), start + len(lead) + len(body), label
+
+
+def generated(n: int, seed: int = SEED) -> list[tuple[str, int]]:
+    """Windows of ``candidates_made``: of a secret the piece that has most of the token, and as harmless all pieces before
+    the token; of a look-alike every piece."""
+    out = []
+    for text, start, body, end, label in candidates_made(n, seed):
+        found = list(pieces(start, end))
+        if label:
+            out.append((window(text, *max(found, key=lambda p: min(p[1], end) - max(p[0], body))), 1))
+        out += [(window(text, *p), 0) for p in found if not label or p[1] <= body]
     return out
 
 
@@ -248,8 +279,10 @@ def _labelled(text: str | None):
         if all(end <= a or b <= start for _, a, b in base) and plain(text[start:end]):
             found.append((start, end, 0))
     for start, end, label in found:
-        seen = window(text, start, end)
-        yield label, xxhash.xxh3_64_intdigest(utf8(seen)) >> 1, seen
+        # of a long finding the beginning is known to show it, of other candidates every piece is harmless
+        for piece in islice(pieces(start, end), 1 if label else None):
+            seen = window(text, *piece)
+            yield label, xxhash.xxh3_64_intdigest(utf8(seen)) >> 1, seen
 
 
 def corpus_sample(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> list[tuple[str, int]]:
@@ -271,11 +304,11 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     logits = net.logits(codes[validation])
     a, b = calibrate(logits, labels[validation])
     # base findings are never asked about, so only formats that the scan judges set the threshold
-    judged = generated(JUDGED * FORMATS, seed=SEED + 1)
-    z = a * net.logits(encode([seen for seen, _ in judged])) + b
-    kinds = np.arange(len(judged)) % FORMATS
-    found = threshold(1 / (1 + np.exp(-np.clip(z, -30, 30))), np.array([label for _, label in judged]), kinds)
-    return {"weights": net.p, "slope": a, "offset": b, "threshold": found}
+    model = {"weights": net.p, "slope": a, "offset": b, "threshold": 0.0}
+    judged = list(candidates_made(JUDGED * FORMATS, seed=SEED + 1))
+    probabilities = np.array([p for text, start, _, end, _ in judged for p in Scanner(model).chances(text, [(start, end)])])
+    labels, kinds = np.array([label for *_, label in judged]), np.arange(len(judged)) % FORMATS
+    return model | {"threshold": threshold(probabilities, labels, kinds)}
 
 
 # ---- scan
@@ -290,18 +323,23 @@ class Scanner:
         self.model, self.net = model, Network()
         self.net.p = model["weights"]
 
+    def chances(self, text: str, spots: list[tuple[int, int]]) -> np.ndarray:
+        """The highest probability over each candidate's pieces; so many pieces at a time are held."""
+        most = np.full(len(spots), -np.inf)
+        seen = ((i, window(text, *p)) for i, spot in enumerate(spots) for p in pieces(*spot))
+        while part := list(islice(seen, 512)):
+            np.maximum.at(most, [i for i, _ in part], self.net.logits(encode([w for _, w in part])))
+        return 1 / (1 + np.exp(-np.clip(self.model["slope"] * most + self.model["offset"], -30, 30)))
+
     def __call__(self, text: str | None) -> list[tuple[str, int, int, float]]:
         if not text:
             return []
         base = base_spans(text)
         found = [(*s, 1.0) for s in base]
         spots = [s for s in candidates(text) if all(s[1] <= a or b <= s[0] for _, a, b in base)]
-        for i in range(0, len(spots), 512):
-            part = spots[i : i + 512]
-            z = self.model["slope"] * self.net.logits(encode([window(text, *s) for s in part])) + self.model["offset"]
-            for (start, end), p in zip(part, 1 / (1 + np.exp(-np.clip(z, -30, 30))), strict=True):
-                if p >= self.model["threshold"]:
-                    found.append((LEARNED, start, end, float(p)))
+        for (start, end), p in zip(spots, self.chances(text, spots).tolist(), strict=True):
+            if p >= self.model["threshold"]:
+                found.append((LEARNED, start, end, p))
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

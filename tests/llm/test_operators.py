@@ -366,6 +366,22 @@ def test_secrets_corpus_negatives(documents):
     assert sum(bool(scan(f"see {t} now")) for t in tokens) >= 294
 
 
+def test_secrets_in_long_candidates(documents):
+    """The token is found wherever it stands in a candidate; long paths of words stay unmarked."""
+    r = random.Random(13)
+    alnum = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    scan = secrets.Scanner(secrets.train(documents([(1, None)])))
+    leads = ["DATABASE_PRODUCTION_CONNECTION_SERVICE_ACCOUNT_CREDENTIAL=", "v1/projects/production/services/integrations/webhooks/", "some/very/long/path/" * 12]
+    for lead in leads:
+        texts = [f"see {lead}{''.join(r.choices(alnum, k=40))} now" for _ in range(100)]
+        found = [[s[:3] for s in scan(t)] for t in texts]
+        assert sum(f == [("learned", 4, len(t) - 4)] for f, t in zip(found, texts, strict=True)) >= 95
+        assert scan(f"see {lead}reports/monthly/overview12 now") == []
+    for start, end in ((0, 16), (5, 53), (5, 54), (0, 1000)):
+        covered = [x for a, b in secrets.pieces(start, end) for x in range(a, b)]
+        assert set(covered) == {*range(start, end)} and all(b - a <= secrets.WITHIN for a, b in secrets.pieces(start, end))
+
+
 def test_secrets_threshold_per_kind():
     labels, kinds = np.array([1.0] * 100 + [0.0] * 50), np.array([0] * 90 + [1] * 10 + [0] * 50)
     p = np.concatenate([np.full(90, 0.9), np.full(10, 0.3), np.full(50, 0.1)])
