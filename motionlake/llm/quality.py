@@ -1,8 +1,9 @@
 """Quality rules: statistics of a text, and line frequency across the documents of a host.
 
 Lines are normalised and hashed; for each host (the source column) and line the distinct texts holding it are counted.  A
-line above its host's limit is taken out of every document but the first (smallest id) that has it, so that a passage is
-kept once.  A document that loses more than half of its words is depleted and rejected.
+line above its host's limit is taken out of every document but the first (smallest id) that has it.  A document that loses
+more than half of its words is depleted and rejected.  ``clean`` looks for the first among documents that are kept, so
+that a passage stays once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from motionlake.session import settle
 
-from .common import WORD, appended, appending, ascii_lower, field, fresh, utf8
+from .common import WORD, appended, appending, ascii_lower, field, fresh, settled, utf8
 
 #: Fixed by the contract: the symbols, the least words, the most words in repeated windows (per cent).
 SYMBOLS = "#*$%&|<>"
@@ -87,30 +88,70 @@ def _failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
 
 
+def _holders(held: DataFrame) -> DataFrame:
+    """``key, first``: the document that keeps each line, of ``doc, key, words, n_words`` (documents without base failures).
+
+    In each round every open line is proposed to the smallest document that would not be depleted if it kept all its open
+    lines; lines whose proposed document survives are settled.  A host's smallest such document is proposed all its open
+    lines, so each round settles some.  A line is left out if every document that has it loses more than half of its words
+    to lines settled elsewhere.
+    """
+    doc_id = F.col("doc.doc_id")
+    own = F.col("known").isNotNull() & doc_id.eqNullSafe(F.col("first"))
+
+    def surviving(known: DataFrame, lost: Column, lines: Column) -> DataFrame:
+        """The ``lines`` of documents that are left with half of their words, each with its document."""
+        named = known.select(F.col("key").alias("_key"), "first", F.lit(True).alias("known"))
+        marked = held.join(named, held["key"].eqNullSafe(F.col("_key")), "left")
+        by_doc = marked.groupBy("doc").agg(
+            F.sum(F.when(lost, F.col("words")).otherwise(0)).alias("lost"), F.first("n_words").alias("n_words"), F.collect_list(F.when(lines, F.col("key"))).alias("lines")
+        )
+        return by_doc.where((F.col("n_words") - F.col("lost")) * 2 >= F.col("n_words")).select(F.explode("lines").alias("key"), doc_id.alias("first"))
+
+    proposed = settled(held.groupBy("key").agg(F.min(doc_id).alias("first")))
+    done, n, lines = proposed.limit(0), 0, proposed.count()
+    while True:
+        done = settled(surviving(done.union(proposed), ~own, own).distinct())
+        before, n = n, done.count()
+        if n in (before, lines):
+            return done
+        open_lines = surviving(done, F.col("known").isNotNull() & ~own, F.col("known").isNull())
+        proposed = settled(open_lines.groupBy("key").agg(F.min("first").alias("first")))
+
+
 def verdicts(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE
-) -> DataFrame:
+    docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE,
+    represent: bool = False,
+) -> DataFrame:
     """One row per document row: ``doc_id, source, text_hash``, the statistics, ``n_removed`` (words in lines taken out),
     ``removed`` (hashes of those lines or null), ``base_failed`` and ``kept``.
 
     Null text has no words and fails.  The null host is a host.  Rows equal in id, host and text get equal verdicts; a line
-    whose documents all have null ids stays in them.
+    whose documents all have null ids stays in them.  With ``represent``, a line's first document is one that is kept.
     """
     rows = docs.select(
         field(docs, id, "doc_id"), field(docs, host, "source"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), field(docs, text, "text")
     )
     base = settle(rows.mapInArrow(appending(text_statistics, ["text"], _STATISTICS), appended(rows, _STATISTICS)).drop("text"))
     hosts = base.select("source", "text_hash").distinct().groupBy("source").agg(F.count("*").alias("_texts"))
-    once = base.select("doc_id", "source", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("_l"))
-    once = once.select("doc_id", "source", "text_hash", F.col("_l.lines").alias("line"), F.col("_l.line_words").alias("words"))
+    once = base.select("doc_id", "source", "text_hash", "n_words", _failed().alias("failed"), F.explode(F.arrays_zip("lines", "line_words")).alias("_l"))
+    once = once.select("doc_id", "source", "text_hash", "n_words", "failed", F.col("_l.lines").alias("line"), F.col("_l.line_words").alias("words"))
     counted = once.groupBy("source", "line").agg(F.countDistinct("text_hash").alias("_n"), F.min("doc_id").alias("_first"))
     counted = counted.where(F.col("_n") > min_docs).withColumnsRenamed({"source": "_source", "line": "_line"})
     limited = counted.join(hosts, counted["_source"].eqNullSafe(hosts["source"])).where(F.col("_n") > F.col("_texts") * share)
     limited = limited.select("_source", "_line", "_first")
+    once = once.dropDuplicates(["doc_id", "source", "text_hash", "line"])
+    held = once.join(limited, (once["line"] == limited["_line"]) & once["source"].eqNullSafe(limited["_source"]))
+    stays = F.col("doc_id").eqNullSafe(F.col("_first"))
+    if represent:
+        key = F.struct("source", "line").alias("key")
+        held = settled(held.drop("_source", "_line", "_first").where(~F.col("failed")))
+        first = _holders(held.select(F.struct("doc_id", "source", "text_hash").alias("doc"), key, "words", "n_words"))
+        first = first.select(F.col("key").alias("_key"), F.col("first").alias("_first"))
+        held = held.join(first, F.struct("source", "line").eqNullSafe(F.col("_key")), "left")
+        stays = F.col("_key").isNotNull() & stays
     lost = (
-        once.dropDuplicates(["doc_id", "source", "text_hash", "line"])
-        .join(limited, (once["line"] == limited["_line"]) & once["source"].eqNullSafe(limited["_source"]))
-        .where(~F.col("doc_id").eqNullSafe(F.col("_first")))
+        held.where(~stays)
         .groupBy("doc_id", "source", "text_hash")
         .agg(F.sum("words").alias("n_removed"), F.collect_list("line").alias("removed"))
         .withColumnsRenamed({"doc_id": "_d", "source": "_s", "text_hash": "_t"})
@@ -126,12 +167,12 @@ def verdicts(
 
 
 def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", length: str = "n_chars", **limits) -> DataFrame:
-    """The kept rows of ``docs`` with all their columns; boilerplate lines are taken out of the text.
+    """The kept rows of ``docs`` with all their columns; boilerplate lines are taken out of the text of all but one of them.
 
     Where the text changes, the column ``length`` (if there is one) becomes the new number of characters.
     """
     removed, judged = fresh(docs, "_removed", "_judged")
-    found = verdicts(docs, id, text, host, **limits).where("kept").dropDuplicates(["doc_id", "source", "text_hash"])
+    found = verdicts(docs, id, text, host, represent=True, **limits).where("kept").dropDuplicates(["doc_id", "source", "text_hash"])
     found = found.select(F.struct("doc_id", "source", "text_hash").alias(judged), F.col("removed").alias(removed))
     key = F.struct(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{host}`").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
     kept = docs.join(found, key.eqNullSafe(F.col(judged))).drop(judged)

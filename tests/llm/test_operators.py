@@ -137,6 +137,26 @@ def test_quality_lines(documents):
     assert quality.clean(docs.limit(0)).count() == 0
 
 
+def test_quality_passage_stays_once(documents):
+    """The first document of a line may be rejected; the line then stays in another that is kept."""
+    r = random.Random(21)
+    lines = {c: prose(n, r) for c, n in {"a": 12, "b": 60, "c": 12, "d": 40, "e": 40}.items()}
+    own = lambda i, n: f"{prose(n, r)} own{i}"
+    rows = [(0, lines["a"], "en", "short")] + [(i, f"{own(i, 70)}\n{lines['a']}", "en", "short") for i in range(1, 26)]
+    # most of each text is shared with a page that is too short
+    rows += [(100, lines["d"], "en", "most")] + [(100 + i, f"{own(i, 12)}\n{lines['d']}\n{lines['e']}", "en", "most") for i in range(1, 26)]
+    # document 201 is the first with line c and is depleted by line b, which 200 keeps
+    rows += [(200, f"{own(0, 20)}\n{lines['b']}", "en", "depleted"), (201, f"{own(1, 20)}\n{lines['b']}\n{lines['c']}", "en", "depleted")]
+    rows += [(202 + i, f"{own(i, 20)}\n{lines['b']}", "en", "depleted") for i in range(25)] + [(250 + i, f"{own(i, 70)}\n{lines['c']}", "en", "depleted") for i in range(25)]
+    # null ids and a null host
+    rows += [(None, f"{own(i, 70)}\n{lines['a']}", "en", None) for i in range(22)]
+    docs = documents(rows)
+    kept = [(x.doc_id, x.source, x.text) for x in quality.clean(docs, share=0.0).collect()]
+    assert {(i, c) for i, s, t in kept for c, line in lines.items() if s and line in t.split("\n")} == {(1, "a"), (101, "d"), (101, "e"), (200, "b"), (250, "c")}
+    assert sorted(i for i, s, _ in kept if s) == [*range(1, 26), 101, 200, *range(250, 275)]
+    assert sum(s is None and lines["a"] in t for _, s, t in kept) == 22
+
+
 def brute_groups(rows, k):
     sets = {}
     for id, text, *_ in rows:
