@@ -41,6 +41,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12,}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_WORD_OF_IBAN = re.compile("[A-Z0-9]+")
+#: Characters of an account number by country (the published registry).
+IBAN_LENGTH = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for country in countries.split()}
+LEAST_IBAN = 15
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NO_DIGIT = re.compile("[^0-9]+")
 
@@ -85,11 +94,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _iban_ends(proposed: str) -> list[int]:
+    """Where an account number may end: at its country's length, or else with the whole; of other countries at any word end."""
+    ends = [m.end() for m in _WORD_OF_IBAN.finditer(proposed)]
+    length = IBAN_LENGTH.get(proposed[:2])
+    fitting = [e for e in ends if len(proposed[:e].replace(" ", "")) == length]
+    return [*fitting, len(proposed)] if length else [e for e in reversed(ends) if len(proposed[:e].replace(" ", "")) >= LEAST_IBAN]
+
+
 def _added(text: str) -> list[tuple[str, int, int]]:
     spans = []
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            spans.append(("iban", *m.span()))
+    at = 0
+    while m := _IBAN.search(text, at):
+        # what follows may look like more of it, and what looks like a beginning may stand before it
+        end = next((e for e in _iban_ends(m[0]) if mod97(m[0][:e].replace(" ", ""))), None)
+        if end is not None:
+            spans.append(("iban", m.start(), m.start() + end))
+        at = m.start() + (end or 1)
     for m in _SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

@@ -353,6 +353,20 @@ def test_pii_added(documents):
     assert pii.find(documents([])).count() == 0
 
 
+def test_pii_iban_among_other_words():
+    solid, spaced, short = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947"
+    for iban in (solid, spaced, short, "XX36" + "1" * 14 + "2"):
+        if iban.startswith("XX"):  # a country without a known length
+            iban = next(x for n in range(100) if pii.mod97(x := f"XX{n:02d}{'1' * 14}2"))
+        for before in ("", "account ", "REF AB12 ", "NR 4711 "):
+            for after in ("", ", x", " BIC COBADEFFXXX", " 12 May", " USD 500", " A payment", " to", " 1", " AB12"):
+                text = before + iban + after
+                assert [text[a:b] for kind, a, b in pii._added(text) if kind == "iban"] == [iban], text
+                assert iban not in pii.redacted(text)[0]
+    assert [s[1:] for s in pii._added(f"{short} {short}")] == [(0, 15), (16, 31)]
+    assert pii._added("DE88370400440532013000 BIC COBADEFFXXX") == []
+
+
 def test_secrets(documents):
     r = random.Random(7)
     text = 'API_key: "abcdef" token=abc paſſword=abcdefg AKIA' + "A1" * 9 + " " + "ab12" * 6 + " x"
