@@ -3,10 +3,10 @@
 A window is ``WINDOW`` consecutive words; its minimiser is the smallest hash of ``M`` consecutive words in it.  Neighbouring
 windows with one minimiser form a run.  Equal windows have equal minimisers, so only runs whose minimiser two documents
 share can hold a repeat.  Equal runs are one string; where a bucket (all runs of a minimiser) holds different strings, each
-travels there once, packed, is cut into windows, and sorting the windows finds the smallest document of each.
+is cut into windows where its text lies; dealt by digest and sorted, they show the smallest document of each window.
 
-Hot passages cost little: their runs are equal strings, folded to the smallest id in each task before any shuffle.  A bucket's
-task holds 24 bytes for each window of the bucket's different strings.
+Hot passages cost little: their runs are equal strings, folded to the smallest id in each task before any shuffle.  No task
+holds a bucket.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,14 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from motionlake.session import settle
 
-from .common import SLICE, WORD, WordHashes, appended, appending, by_text, field
+from .common import WORD, WordHashes, appended, appending, by_text, field
 from .decontamination import merged
 from .neardup import _mixed, _ODD
 
 WINDOW = 50
 M = 8
+#: Windows that a task holds before it hands them on.
+HELD = 10_000
 
 
 def window_minima(own: np.ndarray, window: int, m: int) -> np.ndarray:
@@ -74,97 +77,76 @@ def _runs(rows: DataFrame, window: int, m: int) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
-def _packed(texts: DataFrame, keys: DataFrame, window: int) -> DataFrame:
-    """``mini, key, first, words``: each different string of a bucket, cut from the smallest document that holds it."""
-    wanted = keys.groupBy("first").agg(F.collect_list(F.struct("mini", "key", "start", "n")).alias("wanted"))
+def _windows(texts: DataFrame, keys: DataFrame, window: int) -> DataFrame:
+    """``key, at, digest, first``: windows of each different string of a bucket, cut from the smallest document that holds it."""
+    wanted = keys.groupBy("first").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
     held = texts.join(wanted, texts["id"] == wanted["first"]).select("text", "id", "wanted")
     out = StructType([
-        StructField("mini", LongType()), StructField("key", BinaryType()), StructField("first", texts.schema["id"].dataType),
-        StructField("words", StringType()),
+        StructField("key", BinaryType()), StructField("at", IntegerType()), StructField("digest", BinaryType()), StructField("first", texts.schema["id"].dataType),
     ])
 
-    def run(batches):
-        hashes = WordHashes()
-
-        def work(text: str, id, wanted) -> Iterator[tuple]:
-            words = WORD.findall(text)
-            for w in wanted:
-                part = words[w["start"] : w["start"] + w["n"] + window - 1]
-                # rows may share an id and differ in text
-                if xxhash.xxh3_128_digest(hashes.array(part).tobytes()) == w["key"]:
-                    yield w["mini"], w["key"], id, " ".join(part)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyspark.sql.pandas.types as arrow_types
 
-        yield from by_text(work, out)(batches)
+        hashes, schema, rows = WordHashes(), arrow_types.to_arrow_schema(out), []
 
-    return held.mapInArrow(run, out)
+        def full() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows.clear()
+            return made
 
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text, id, wanted = (c[at].as_py() for c in batch.columns)
+                words = WORD.findall(text)
+                for w in wanted:
+                    raw = memoryview(hashes.array(words[w["start"] : w["start"] + w["n"] + window - 1]).tobytes())
+                    # rows may share an id and differ in text
+                    if xxhash.xxh3_128_digest(raw) == w["key"]:
+                        for i in range(w["n"]):
+                            rows.append((w["key"], i, xxhash.xxh3_128_digest(raw[i * 8 : (i + window) * 8]), id))
+                            if len(rows) == HELD:
+                                yield full()
+        if rows:
+            yield full()
 
-def bucket_minima(strings: list[tuple[bytes, object, str]], window: int, hashes: WordHashes) -> Iterator[tuple[bytes, list]]:
-    """For each ``key, first, words`` of a bucket, the smallest document of each of its windows."""
-    digests, owner, sizes = [], [], []
-    for at, (_, _, words) in enumerate(strings):
-        own = hashes.array(words.split(" "))
-        raw, n = memoryview(own.tobytes()), len(own) - window + 1
-        digests += [xxhash.xxh3_128_digest(raw[i * 8 : (i + window) * 8]) for i in range(n)]
-        owner += [at] * n
-        sizes.append(n)
-    firsts = [first for _, first, _ in strings]
-    rank = {first: i for i, first in enumerate(sorted(set(firsts)))}
-    order_of = np.array([rank[firsts[at]] for at in owner])
-    halves = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-    order = np.lexsort((order_of, halves[:, 1], halves[:, 0]))
-    ordered = halves[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (ordered[1:] != ordered[:-1]).any(1)
-    smallest = np.empty(len(order), np.int64)
-    smallest[order] = order_of[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
-    names, at = sorted(rank, key=rank.get), 0
-    for (key, _, _), n in zip(strings, sizes, strict=True):
-        yield key, [names[i] for i in smallest[at : at + n].tolist()]
-        at += n
-
-
-def _counted(packed: DataFrame, window: int) -> DataFrame:
-    kind = packed.schema["first"].dataType
-    out = StructType([StructField("key", BinaryType()), StructField("firsts", ArrayType(kind))])
+    return held.mapInArrow(run, out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyspark.sql.pandas.types as arrow_types
 
-        schema, hashes = arrow_types.to_arrow_schema(out), WordHashes()
-        mini, held = None, []
+def _lower(windows: DataFrame) -> DataFrame:
+    """``key, lower``: places of the windows that a smaller document holds in another string.
 
-        def done() -> Iterator[pa.RecordBatch]:
-            found = list(bucket_minima(held, window, hashes))
-            for i in range(0, len(found), SLICE):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*found[i : i + SLICE], strict=True), schema, strict=True)], schema=schema
-                )
+    Windows are dealt by digest and stream through in order; a task remembers one digest and its smallest document.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = np.empty((0, 2), np.uint64), None
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                for own, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if own != mini:
-                        if held:
-                            yield from done()
-                        mini, held = own, []
-                    if not held or held[-1] != tuple(row):  # rows with one id and one text give one string twice
-                        held.append(tuple(row))
-        if held:
-            yield from done()
-
-    return packed.repartition("mini").sortWithinPartitions("mini", "key").mapInArrow(run, out)
+            if not batch.num_rows:
+                continue
+            key, at, digest, first = batch.columns
+            before = len(last)
+            own = np.concatenate([last, np.frombuffer(b"".join(digest.to_pylist()), np.uint64).reshape(-1, 2)])
+            firsts = first if least is None else pa.concat_arrays([least, first])
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]).any(1)
+            smallest = firsts.take(pa.array(np.flatnonzero(new)[np.cumsum(new) - 1]))
+            lower = pc.not_equal(firsts, smallest).slice(before)
+            last, least = own[-1:], smallest.slice(len(own) - 1)
+            yield pa.RecordBatch.from_arrays([key.filter(lower), at.filter(lower)], names=["key", "at"])
+
+    dealt = windows.repartition("digest").sortWithinPartitions("digest", "first")
+    return dealt.mapInArrow(run, "key binary, at int").groupBy("key").agg(F.collect_set("at").alias("lower"))
 
 
 def _covered(window: int, out: StructType):
-    def work(firsts, id, start, n, first) -> Iterator[tuple]:
-        if firsts is None:
+    def work(lower, id, start, n, first) -> Iterator[tuple]:
+        if first < id:
             yield id, [start, start + n + window - 1]
-        elif ranges := [(start + i, start + i + window) for i, own in enumerate(firsts) if own < id]:
-            yield id, merged(ranges)
+        else:
+            yield id, merged([(start + i, start + i + window) for i in sorted(lower)])
 
-    return by_text(work, out, "firsts")
+    return by_text(work, out, "lower")
 
 
 def repeated(rows: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
@@ -181,11 +163,10 @@ def repeated(rows: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame:
     places = held.select(F.col("mini").alias("m"), F.col("key").alias("k"), F.col("id").alias("first"), "start")
     mixed = keys.join(several, "mini").join(places, (F.col("mini") == F.col("m")) & (F.col("key") == F.col("k")) & (keys["first"] == places["first"]))
     mixed = mixed.groupBy("mini", "key", "n", keys["first"]).agg(F.min("start").alias("start"))
-    counted = _counted(_packed(rows, mixed, window), window)
-    joined = held.join(keys.drop("n"), ["mini", "key"]).join(counted, "key", "left")
-    open_runs = joined.where((F.col("firsts").isNotNull()) | (F.col("first") < F.col("id")))
+    joined = held.join(keys.drop("n"), ["mini", "key"]).join(_lower(_windows(rows, mixed, window)), "key", "left")
+    open_runs = joined.where((F.col("lower").isNotNull()) | (F.col("first") < F.col("id")))
     out = StructType([StructField("id", rows.schema["id"].dataType), StructField("spans", ArrayType(IntegerType()))])
-    spans = open_runs.select("firsts", "id", "start", "n", "first").mapInArrow(_covered(window, out), out)
+    spans = open_runs.select("lower", "id", "start", "n", "first").mapInArrow(_covered(window, out), out)
     return spans.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 

@@ -249,6 +249,18 @@ def test_substrings(documents, rows):
     assert substrings.repeat_digest(documents([])).count() == 0
 
 
+def test_substrings_of_one_bucket_are_dealt_by_window(documents):
+    """One shared line with different words around it: many strings of one minimiser, which no task receives as a whole."""
+    r = random.Random(17)
+    line = prose(45, r)
+    rows = [(i, " ".join([*(f"a{i}.{k}" for k in range(40)), line, *(f"z{i}.{k}" for k in range(40))])) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 60, 7)] + [(200, "x " + rows[3][1].split(" ", 5)[5])]
+    got = {x.doc_id: x.n_removed for x in substrings.repeat_digest(documents(rows)).collect()}
+    assert got == {i: 125 if 100 <= i < 200 else 120 if i == 200 else 0 for i, _ in rows}
+    windows = substrings._windows(documents(rows).selectExpr("doc_id as id", "text"), documents(rows).sparkSession.createDataFrame([], "first long, key binary, start int, n int"), 50)
+    assert "mini" not in windows.columns
+
+
 def test_decontamination(documents, spark, rows):
     long = prose(300, random.Random(8))
     items = [(1, " ".join(rows[2][1].split()[3:30])), (2, "changed"), (3, None), (4, "!!"), (None, long), (5, long), (5, "not there at all")]
