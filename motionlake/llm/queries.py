@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, lm, mixing, neardup, pii, quality, secrets, sharding, substrings
+from . import collocations, decontamination, language, lines, lm, mixing, neardup, negatives, pii, quality, secrets, sharding, substrings
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -76,8 +76,23 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items").cast("binary"), 256)).drop("items")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("id") % 100 == 0, "vec_id", "label", "embedding")
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_digest(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_language_id, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_mixing, op7_secrets, op8_quality_rules, op9_decontamination, op10_pii,
+    op11_hard_negatives, op12_collocations, op13_line_dedup,
 )}
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -237,5 +252,73 @@ with parts as (
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from parts left join covered using (doc_id) left join named using (doc_id)
+""",
+    "op11_hard_negatives": """
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double)::bigint for x in embedding] as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), anchors as (
+  select distinct * from vectors where vec_id % 100 = 0
+), scores as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, coalesce(list_sum([a.v[i] * b.v[i] for i in range(1, least(len(a.v), len(b.v)) + 1)]), 0)::bigint as score
+  from anchors a, vectors b where a.vec_id <> b.vec_id
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+""",
+    "op12_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents where text is not null
+), split as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), totals as (
+  select lang, sum(len(w))::bigint as n from split group by lang
+), grams as (
+  select lang, w[i : i + m - 1] as g
+  from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from (select lang, w, unnest([1, 2, 3, 4]) as m from split) where len(w) >= m)
+), phrases as (
+  select lang, g, count(*)::bigint as f from grams group by all having count(*) >= 30
+), held as (
+  select lang, g[i : i + m - 1] as part, max(f) as most
+  from (select lang, g, f, m, unnest(range(1, len(g) - m + 2)) as i from (select lang, g, f, unnest(range(2, len(g))) as m from phrases where len(g) > 2)) group by all
+), candidates as (
+  select p.lang, p.g, f as a from phrases p left join held h on h.lang = p.lang and h.part = p.g
+  where len(p.g) > 1 and not coalesce(100::hugeint * most >= 80::hugeint * f, false)
+), cuts as (
+  select lang, g, a, unnest(range(1, len(g))) as k from candidates
+), scored as (
+  select c.lang, array_to_string(c.g, ' ') as phrase, a, x.f as l, y.f as r, ((2000000::hugeint * a) // (x.f::hugeint + y.f))::bigint as score
+  from cuts c join phrases x on x.lang = c.lang and x.g = c.g[1 : k] join phrases y on y.lang = c.lang and y.g = c.g[k + 1 : len(c.g)]
+  qualify row_number() over (partition by c.lang, c.g order by score, k) = 1
+)
+select lang, (row_number() over (partition by lang order by score desc, a desc, phrase))::int as rank, phrase, a, l, r, n, score
+from scored join totals using (lang) qualify rank <= 2000
+""",
+    "op13_line_dedup": """
+with lined as (
+  select distinct doc_id, md5(coalesce(text, '')) as t, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from documents
+), keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lined
+), shared as (
+  select key, max(doc_id) as largest from keyed where length(key) >= 20 and doc_id is not null group by key having count(distinct doc_id) >= 3
+), judged as (
+  select doc_id, t, pos, line, coalesce(doc_id <> largest, false) as gone from keyed left join shared using (key)
+), folded as (
+  select doc_id, t, count(*) as n_lines, count(*) filter (gone) as n_dropped, string_agg(line, chr(10) order by pos) filter (not gone) as kept from judged group by all
+)
+select d.doc_id, n_lines::bigint as n_lines, n_dropped::bigint as n_dropped, sha256(coalesce(kept, '')) as kept_sha256
+from documents d join folded f on f.doc_id is not distinct from d.doc_id and f.t = md5(coalesce(d.text, ''))
 """,
 }

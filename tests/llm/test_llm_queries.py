@@ -18,7 +18,8 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     got = QUERIES[name](spark, FOLDER).toPandas()
-    assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    if name not in ("op11_hard_negatives", "op12_collocations"):
+        assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     if name in ORACLE_SQL:
         want = oracle_connection(FOLDER).execute(ORACLE_SQL[name]).df()
         a, b = ordered(got), ordered(want)
