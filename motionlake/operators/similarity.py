@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import cut_tree
 from ..session import settle
 
 SIMILARITY_METRICS = ["max_speed", "avg_speed", "best_split"]
 BLOCK = 2000
-MAX_BLOCKS = 100_000
 VISITORS = 50_000
 CHUNK = 256
 
@@ -49,9 +49,9 @@ def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, vis
 
     1. Athletes with equal metrics share one spot that names its ``top_n + 1`` first athletes; more of them can
        never be needed.
-    2. Spots are cut into blocks of about ``block`` by a range over the metrics.  Inside its block a spot finds a
-       radius that holds enough athletes, hence the blocks that can hold a closer one.
-    3. A spot visits those blocks; blocks with many visitors are met by ``visitors`` at a time.
+    2. A tree of cuts over all metrics deals the spots to cells of at most ``block``.  Inside its cell a spot finds a
+       radius that holds enough athletes; the tree names the cells whose boxes lie within it.
+    3. A spot visits those cells; cells with many visitors are met by ``visitors`` at a time.
     """
     dims = SIMILARITY_METRICS
     need = top_n + 1
@@ -74,36 +74,29 @@ def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, vis
         .groupBy(*dims)
         .agg(F.array_sort(F.collect_list("client")).alias("clients"))
     )
-    n = spots.count()
-    blocks = max(1, min(MAX_BLOCKS, -(-n // block)))
-    placed = settle(spots.repartitionByRange(blocks, *dims).withColumn("block", F.spark_partition_id()))
-    # at most MAX_BLOCKS pairs of numbers
-    edges = placed.groupBy("block").agg(F.min(dims[0]).alias("low"), F.max(dims[0]).alias("high")).orderBy("block").collect()
-    ids, low, high = (np.array([r[c] for r in edges]) for c in ("block", "low", "high"))
-
-    def reach(spots_of_block: pd.DataFrame) -> pd.DataFrame:
-        x = spots_of_block[dims].to_numpy(float)
-        radius = np.full(len(x), np.inf)
+    tree = cut_tree.build(spots, dims, max(block, need))
+    placed = settle(tree.rows)
+    sides = [[f"outer_{side}_{d}" for d in dims] for side in ("low", "high")]
+
+    def reach(spots_of_cell: pd.DataFrame) -> pd.DataFrame:
+        x = spots_of_cell[dims].to_numpy(float)
         if len(x) >= need:
+            radius = np.empty(len(x))
             for part in chunks(len(x)):
-                # a hair wider than measured, so that rounding cannot hide an equally distant athlete
-                radius[part] = np.sqrt(np.partition(squared(x[part], x), need - 1, axis=1)[:, need - 1]) * (1 + 1e-9) + 1e-12
-        start = np.searchsorted(high, x[:, 0] - radius, side="left")
-        stop = np.searchsorted(low, x[:, 0] + radius, side="right") - 1
-        return spots_of_block[dims].assign(start=start, stop=stop)
+                radius[part] = np.sqrt(np.partition(squared(x[part], x), need - 1, axis=1)[:, need - 1])
+        else:  # the node above holds enough athletes: no farther than the farthest corner of its box
+            low, high = (spots_of_cell[side].to_numpy(float) for side in sides)
+            radius = np.nan_to_num(np.sqrt((np.maximum(x - low, high - x) ** 2).sum(axis=1)), nan=np.inf)
+        # a hair wider than measured, so that rounding cannot hide an equally distant athlete
+        return spots_of_cell[dims].assign(radius=radius * (1 + 1e-9) + 1e-12)
 
     typed = ", ".join(f"{d} double" for d in dims)
-    visits = settle(
-        placed.drop("clients")
-        .groupBy("block")
-        .applyInPandas(reach, f"{typed}, start int, stop int")
-        .select(*dims, F.explode(F.sequence("start", "stop")).alias("_i"))
-        .withColumn("block", F.element_at(F.lit([int(i) for i in ids]), F.col("_i") + 1))
-        .drop("_i")
-    )
-    turns = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("_turns"))
-    guests = visits.join(turns, "block").withColumn("turn", F.pmod(F.hash(*dims), F.col("_turns"))).drop("_turns")
-    hosts = placed.join(turns, "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1))).drop("_turns")
+    reaches = settle(placed.drop("clients").groupBy("cell").applyInPandas(reach, f"{typed}, radius double"))
+    visits = settle(cut_tree.within_reach(tree, reaches, "radius").drop("radius"))
+    placed = placed.select(*dims, "clients", "cell")
+    turns = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("_turns"))
+    guests = visits.join(turns, "cell").withColumn("turn", F.pmod(F.hash(*dims), F.col("_turns"))).drop("_turns")
+    hosts = placed.join(turns, "cell").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1))).drop("_turns")
 
     def nearest(guest: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
         athletes = host.explode("clients").sort_values("clients", kind="stable")
@@ -124,8 +117,8 @@ def similar_to_each(features: DataFrame, top_n: int = 3, block: int = BLOCK, vis
 
     by_distance = [F.col("squares"), F.col("partner")]
     candidates = (
-        guests.groupBy("block", "turn")
-        .cogroup(hosts.groupBy("block", "turn"))
+        guests.groupBy("cell", "turn")
+        .cogroup(hosts.groupBy("cell", "turn"))
         .applyInPandas(nearest, f"{typed}, partner {kind}, squares double, s_max_speed double, s_best_split double")
         .withColumn("_k", F.row_number().over(W.partitionBy(*dims).orderBy(*by_distance)))
         .where(F.col("_k") <= need)

@@ -295,9 +295,7 @@ def _(t: Tables):
     return similarity.similar_athletes(loads.athlete_features(t.sprints), target=1)
 
 
-@query(
-    "h04_similar_to_each",
-    sql=f"""
+_SIMILAR_TO_EACH = f"""
     with {_FEATURES},
     gaps as (
       select t.client, f.client as partner, f.max_speed, f.best_split,
@@ -306,13 +304,19 @@ def _(t: Tables):
     ranked as (select *, cast(row_number() over (partition by client order by d, partner) as int) as rank from gaps)
     select client, rank, partner, 100 / (1 + sqrt(d) / sqrt(3)) as similarity, max_speed, best_split
     from ranked where rank <= 3
-    """,
-    similarity=5, max_speed=6, best_split=6,
-)
+"""
+
+
+@query("h04_similar_to_each", sql=_SIMILAR_TO_EACH, similarity=5, max_speed=6, best_split=6)
 def _(t: Tables):
     return similarity.similar_to_each(loads.athlete_features(t.sprints))
 
 
+@query("h04_similar_to_each_many_cells", sql=_SIMILAR_TO_EACH, similarity=5, max_speed=6, best_split=6)
+def _(t: Tables):
+    return similarity.similar_to_each(loads.athlete_features(t.sprints), block=8, visitors=25)
+
+
 @query(
     "h04_similar_to_each_with_gaps",
     sql=f"""

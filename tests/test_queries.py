@@ -21,7 +21,7 @@ ROW_INDEX = {"a07_missing_athletes", "a10_test_ids"}
 # whole-table reports end in one sorted or top-k table of bounded size
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 # model fits run several jobs to build their plan; their plans are checked through their operators' tests
-FITTED = {n for n in REGISTRY if n[:3] in {f"d{i:02d}" for i in range(2, 25)} | {"h02"} or n in ("h03_cluster_summary", "h04_similar_to_each", "h04_similar_to_each_with_gaps")}
+FITTED = {n for n in REGISTRY if n[:3] in {f"d{i:02d}" for i in range(2, 25)} | {"h02"} or n == "h03_cluster_summary" or n.startswith("h04_similar_to_each")}
 
 
 @pytest.fixture(scope="module")
