@@ -436,6 +436,41 @@ def _(t: Tables):
     return clusters.silhouette_score(_thirds(t)[1], "entity", ["x0", "x1", "x2"], block=24)
 
 
+_SQUARED = f"""
+    with {_POINTS},
+    sizes as (select cluster, count(*) as size from points group by cluster),
+    mean_gap as (
+      select a.entity, a.cluster, b.cluster as other, sum((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2) as total
+      from points a, points b group by all),
+    sided as (
+      select g.entity, g.cluster, max(case when g.cluster = g.other then total / (size - 1) end) as a,
+             min(case when g.cluster <> g.other then total / size end) as b
+      from mean_gap g join sizes s on g.other = s.cluster group by g.entity, g.cluster),
+    widths as (select entity, cluster, (b - a) / greatest(a, b) as silhouette from sided)
+"""
+
+
+@query("d16_moment_silhouettes_given_labels", sql=_SQUARED + "select entity, cluster, silhouette from widths", silhouette=6)
+def _(t: Tables):
+    return clusters.moment_silhouettes(_thirds(t)[1], "entity", ["x0", "x1", "x2"])
+
+
+@query(
+    "d16_moment_silhouette_given_labels",
+    sql=_SQUARED
+    + """
+    select avg(silhouette) as silhouette,
+           case when avg(silhouette) < 0.25 then 'Poor' when avg(silhouette) < 0.5 then 'Fair'
+                when avg(silhouette) < 0.75 then 'Good' else 'Excellent' end as quality,
+           count(distinct cluster) as clusters, count(*) as points
+    from widths
+    """,
+    silhouette=6,
+)
+def _(t: Tables):
+    return clusters.moment_silhouette_score(_thirds(t)[1], "entity", ["x0", "x1", "x2"])
+
+
 @query(
     "d17_cluster_sizes_given_labels",
     sql="select cast(entity % 3 as int) as cluster, count(distinct entity) as size from measures group by 1",

@@ -214,3 +214,24 @@ def test_sprint_clusters(spark):
     assert {c: r["cluster"] for c, r in got.items()} == {f"c{i:02d}": i % 2 for i in range(12)}
     summary = by(sprint_clusters.cluster_summary(df), "cluster")
     assert summary[0]["members"] == 6 and summary[1]["avg_max_speed"] > summary[0]["avg_max_speed"]
+
+
+def test_moment_silhouette_is_the_silhouette_of_squared_distances(spark):
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(0, 1, (20, 2)), rng.normal(6, 1, (15, 2)), [[100.0, 100.0]], np.full((3, 2), 1e6)]
+    label = [0] * 20 + [1] * 15 + [2] + [3] * 3
+    df = spark.createDataFrame([(i, int(c), *map(float, p)) for i, (c, p) in enumerate(zip(label, x, strict=True))], "id long, cluster int, x double, y double")
+    squares = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    got = {r.id: r.silhouette for r in clusters.moment_silhouettes(df, "id", ["x", "y"]).collect()}
+    for i, c in enumerate(label):
+        same = [j for j, d in enumerate(label) if d == c and j != i]
+        if not same:
+            assert got[i] == 0
+            continue
+        a = squares[i, same].mean()
+        b = min(squares[i, [j for j, d in enumerate(label) if d == e]].mean() for e in set(label) - {c})
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+    one = clusters.moment_silhouette_score(df.where("cluster = 0"), "id", ["x", "y"]).first()
+    assert one.silhouette is None and one.clusters == 1
+    plan = clusters.moment_silhouette_score(df, "id", ["x", "y"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "NestedLoop" not in plan
