@@ -52,6 +52,61 @@ def _(t: Tables):
     )
 
 
+@query(
+    "a03_both_splits",
+    sql="""
+    select cast(l_suppkey as varchar) as client, count(*) as sprints, count(distinct cast(l_shipdate as date)) as dates,
+           sum(case when l_linestatus = 'F' then l_quantity else l_quantity / 2 end) as split_5,
+           count(case when l_linestatus = 'F' then l_tax end) as accelerations
+    from lineitem group by l_suppkey
+    """,
+    split_5=4,
+)
+def _(t: Tables):
+    """A folder whose files have metre splits, or yard splits in another order of columns and one column less."""
+    time = F.concat(F.date_format("l_shipdate", "M/d/yyyy h:mm:ss a"), F.lit(" -05:00")).alias("SessionTime")
+    client, speed, raw = F.col("l_suppkey").alias("Client"), F.col("l_extendedprice").alias("TopSpeed"), t.table("lineitem")
+    folder = scratch_path(t.spark, "sprints-csv")
+    metres = raw.where("l_linestatus = 'F'").select(client, time, speed, F.col("l_quantity").alias("0-5m Time [s]"), F.col("l_tax").alias("MaxAcceleration"))
+    yards = raw.where("l_linestatus <> 'F'").select(time, (F.col("l_quantity") / 2).alias("0-5yd Time [s]"), speed, client)
+    files.write_csv(metres, f"{folder}/metres")
+    files.write_csv(yards, f"{folder}/yards")
+    return (
+        files.read_sprints(t.spark, f"{folder}/*")
+        .groupBy("client")
+        .agg(
+            F.count(F.lit(1)).alias("sprints"),
+            F.countDistinct("session_date").alias("dates"),
+            F.sum("split_5").alias("split_5"),
+            F.count("max_accel").alias("accelerations"),
+        )
+    )
+
+
+@query(
+    "a04_both_layouts",
+    sql="""
+    select entity, metric, count(value) as results, sum(value) as total, count(distinct cast(test_ts as date)) as dates
+    from measures where value is not null group by entity, metric
+    """,
+    total=3,
+)
+def _(t: Tables):
+    """A folder with files of either layout: tests of type R as one row per value, the others as one row per test."""
+    folder = scratch_path(t.spark, "jumps-csv")
+    files.write_csv(t.tests_wide.where("Type <> 'R'"), f"{folder}/wide")
+    long = t.measures.where("test_type = 'R' and value is not null").select(
+        F.col("entity").alias("ATHLETE_NAME"), F.col("test_ts").alias("TEST_DATE"), F.col("metric").alias("TARGET_VARIABLE"), F.col("value").alias("RESULT")
+    )
+    files.write_csv(long, f"{folder}/long")
+    return (
+        files.read_measures(t.spark, f"{folder}/*")
+        .groupBy(F.col("entity").cast("bigint").alias("entity"), "metric")
+        .agg(F.count("value").alias("results"), F.sum("value").alias("total"), F.countDistinct(F.to_date("test_ts")).alias("dates"))
+        .where("results > 0")
+    )
+
+
 @query(
     "a07_missing_athletes",
     sql=f"""

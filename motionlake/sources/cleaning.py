@@ -16,6 +16,10 @@ from .layout import split_columns, split_header, standard_headers
 
 # fixed value: session time as the sprint device writes it, zone suffix cut off
 SESSION_TIME_FORMAT = "M/d/yyyy h:mm:ss a"
+#: Texts that can be session times of the device, in its spelling; anything else is read by the general formats.
+DEVICE_SHAPE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]+ [0-9]{1,2}:[0-9]{2}:[0-9]{2} (?i:am|pm)( -|$)"
+#: Texts that are read as ISO dates or times; no written format starts like this.
+ISO_SHAPE = r"^[+-]?[0-9]{4,7}(-|$)|^T?[0-9]{1,2}:"
 TIME_OF_DAY_FORMATS = ("H:mm:ss[.SSSSSS]", "H:mm:ss[.SSS]", "H:mm:ss", "h:mm:ss a")
 GENERAL_FORMATS = (
     "M/d/yyyy h:mm:ss a",
@@ -27,8 +31,8 @@ GENERAL_FORMATS = (
     "d MMM yyyy",
     "MMM d, yyyy",
     "yyyyMMdd",
-    "yyyy/M/d",
     "yyyy/M/d H:mm:ss",
+    "yyyy/M/d",
 )
 
 
@@ -48,9 +52,9 @@ def number_column(df: DataFrame, name: str) -> Column:
 def general_timestamp(text: Column) -> Column:
     """Timestamp without zone from ISO or one of the common written formats, NULL for anything else."""
     text = F.trim(text.cast("string"))
-    candidates = [text.try_cast("timestamp_ntz")]
-    candidates += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in GENERAL_FORMATS]
-    return F.coalesce(*candidates)
+    # one pattern of optional parts, tried in their order (a longer format before its beginning): one parse for all
+    written = F.try_to_timestamp(text, F.lit("".join(f"[{f}]" for f in GENERAL_FORMATS))).cast("timestamp_ntz")
+    return F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp_ntz")).when(text != "", written)
 
 
 def session_timestamp(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cleaning import (
+    DEVICE_SHAPE,
     as_measures,
     clean_measures,
     general_timestamp,
@@ -19,6 +20,7 @@ from .cleaning import (
     trim_headers,
     unpivot_tests,
 )
+from .headers import header_groups, united
 from .layout import detect_layout
 
 # fixed values: sprint file header -> column used by the operators
@@ -52,6 +54,14 @@ def read_text_table(spark: SparkSession, path: str | Sequence[str], multi_line:
     )
 
 
+def read_text_tables(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> list[DataFrame]:
+    """As :func:`read_text_table`, one table for each different header among the files."""
+    tables = header_groups(spark, path, lambda files: read_text_table(spark, files, multi_line))
+    if not tables:
+        raise ValueError("no file with a header")
+    return tables
+
+
 def layout_of(df: DataFrame, layout: str | None = None) -> str:
     """Layout of a text table: the caller's word, or else what the header says.  No data is read."""
     if layout not in (None, "long", "wide"):
@@ -70,16 +80,25 @@ def read_measures(
     layout: str | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Jump file of either layout as the long ``measures`` table."""
-    raw = read_text_table(spark, path, multi_line)
-    long = unpivot_tests(raw, with_test_id) if layout_of(raw, layout) == "wide" else raw
-    return as_measures(clean_measures(long, default_ts))
+    """Jump files as the long ``measures`` table; each file's header says which layout it has.
+
+    Files of both layouts and of different columns may share a folder.  Test ids are dense within the files of one header.
+    """
+
+    def measures(raw: DataFrame) -> DataFrame:
+        long = unpivot_tests(raw, with_test_id) if layout_of(raw, layout) == "wide" else raw
+        return as_measures(clean_measures(long, default_ts))
+
+    return united([measures(raw) for raw in read_text_tables(spark, path, multi_line)])
 
 
 def _session_time() -> Column:
-    """Session time of one row: the device format, or else any general one; rows of both may share a folder."""
+    """Session time of one row: the device format, or else any general one; rows of both may share a folder.
+
+    The text's shape decides which parser it meets.
+    """
     text = F.col("SessionTime").cast("string")
-    return F.coalesce(session_timestamp(text), general_timestamp(text))
+    return F.when(text.rlike(DEVICE_SHAPE), session_timestamp(text)).otherwise(general_timestamp(text))
 
 
 def rejected_sprints(raw: DataFrame) -> DataFrame:
@@ -103,7 +122,8 @@ def clean_sprints(raw: DataFrame) -> DataFrame:
     df = trim_headers(raw)
     if SPLIT_YARDS in df.columns and SPLIT not in df.columns:
         df = df.withColumn(SPLIT, quoted(SPLIT_YARDS))
-    df = df.withColumn("session_ts", _session_time())
+    # explode drops rows without a time and, unlike a filter, forms the time once for all that follows
+    df = df.select("*", F.explode(F.array_compact(F.array(_session_time()))).alias("session_ts"))
     columns = [
         (quoted(source) if source in _TEXT_COLUMNS else number_column(df, source)).alias(target)
         for source, target in SPRINT_COLUMNS.items()
@@ -127,11 +147,12 @@ def clean_sprints(raw: DataFrame) -> DataFrame:
 
 
 def read_sprints(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
-    """Sprint files; files without any date are rejected, a check that stops at the first row with one."""
-    raw = read_text_table(spark, path, multi_line)
-    if trim_headers(raw).where(_session_time().isNotNull()).isEmpty():
+    """Sprint files, with metre or yard splits in one folder; files without any date are rejected, a check that stops at
+    the first row with one."""
+    tables = read_text_tables(spark, path, multi_line)
+    if all(trim_headers(raw).where(_session_time().isNotNull()).isEmpty() for raw in tables):
         raise ValueError("no date in column SessionTime could be parsed")
-    return clean_sprints(raw)
+    return united([clean_sprints(raw) for raw in tables])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

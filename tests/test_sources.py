@@ -204,3 +204,36 @@ def test_rep_times(spark):
 def test_wide_file_without_metrics_is_empty(spark, tmp_path):
     df = files.read_measures(spark, write(tmp_path, "e.csv", "Name,Date,Notes\nAnn,2024-01-05,fine\n"))
     assert df.count() == 0 and {"entity", "metric", "value", "test_ts"} <= set(df.columns)
+
+
+def test_folder_of_several_headers(spark, tmp_path):
+    """Order of columns, missing columns, both splits, odd file names; an empty file says nothing."""
+    (tmp_path / "a b[1].csv").write_text("Client,SessionTime,TopSpeed,0-5m Time [s]\nx,3/7/2024 1:05:09 PM,8.5,1.1\n")
+    (tmp_path / "c.csv").write_text("TopSpeed, Client ,0-5yd Time [s],SessionTime,MaxAcceleration\n7.5,y,1.2,2024-03-08 10:00:00,4\n")
+    (tmp_path / "d.csv").write_text("Client,SessionTime,TopSpeed,0-5m Time [s]\nz,not a time,8,1\nz,2024-03-09,8,1\n")
+    (tmp_path / "e.csv").write_text("")
+    for path in (str(tmp_path), f"{tmp_path}/*.csv", [f"{tmp_path}/a b\\[1\\].csv", f"{tmp_path}/c.csv", f"{tmp_path}/d.csv"]):
+        rows = files.read_sprints(spark, path).orderBy("client").collect()
+        assert [(r.client, r.top_speed, r.split_5, r.max_accel, str(r.session_date)) for r in rows] == [
+            ("x", 8.5, 1.1, None, "2024-03-07"), ("y", 7.5, 1.2, 4.0, "2024-03-08"), ("z", 8.0, 1.0, None, "2024-03-09"),
+        ]
+    assert len(files.read_text_tables(spark, str(tmp_path))) == 2
+    with pytest.raises(ValueError, match="no file with a header"):
+        files.read_sprints(spark, f"{tmp_path}/e.csv")
+
+
+def test_folder_of_both_layouts(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("ATHLETE_NAME,TARGET_VARIABLE,RESULT,TEST_DATE\na,Jump Height,30,2024-01-01\n")
+    (tmp_path / "wide.csv").write_text("Name,Date,Jump Height [cm],Peak Power [W]\nb,1/2/2024,31,\nc,1/3/2024,32,4000\n")
+    rows = files.read_measures(spark, str(tmp_path)).orderBy("entity", "metric").collect()
+    assert [(r.entity, r.metric, r.value, r.test_ts.day) for r in rows] == [
+        ("a", "Jump Height", 30.0, 1), ("b", "Jump Height", 31.0, 2), ("c", "Jump Height", 32.0, 3), ("c", "Peak Power", 4000.0, 3),
+    ]
+
+
+def test_a_time_is_parsed_once(spark):
+    """A text meets one written parser or the cast, and rows without a time do not parse again in the projection."""
+    raw = spark.createDataFrame([("a", "3/7/2024 1:05:09 PM -05:00", "8")], "Client string, SessionTime string, TopSpeed string")
+    plan = files.clean_sprints(raw).select("client", "session_ts", "session_date", "rep_ts")._jdf.queryExecution().optimizedPlan().toString()
+    # the device's parser, the written formats in one pattern, and the cast
+    assert plan.count("gettimestamp(") == 2 and plan.count("as timestamp_ntz)") == 3, plan
