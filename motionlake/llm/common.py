@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -140,10 +140,17 @@ def compact(df: DataFrame, rows: int, per_task: int = 250_000) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))
 
 
+def counted(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+    """``df`` written to the shared folder, with its row count ``n`` and other aggregates, all from the job that writes."""
+    seen = Observation()
+    df = settle(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in sums.items()]))
+    return df, seen.get
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read in tasks that its row count asks for."""
-    df = settle(df)
-    return compact(df, df.count())
+    df, seen = counted(df)
+    return compact(df, seen["n"])
 
 
 def delete_path(spark, path: str) -> None:

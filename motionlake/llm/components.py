@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.session import settle
-
-from .common import compact, settled
+from .common import compact, counted
 
 
 def _pairs(edges: DataFrame, high, low) -> DataFrame:
     return edges.select(high.alias("u"), low.alias("v")).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    edges, seen = counted(edges, total=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    return edges, (seen["n"], seen["total"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,8 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are split by adaptive execution.  Every round is written to the shared folder, in as many
     tasks as its rows ask for.  Edges with a null end are left out.
     """
-    edges = settled(_pairs(edges, F.greatest(a, b), F.least(a, b)))
-    state = _state(edges)
+    edges, state = _settled(_pairs(edges, F.greatest(a, b), F.least(a, b)))
+    edges = compact(edges, state[0])
     while state[0]:
         n = state[0]
         both = edges.union(edges.select("v", "u"))
@@ -37,8 +35,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(smallest, "u").where("v <> m").select("v", "m")
         edges = _pairs(moved.union(compact(smallest.select("u", "m"), n)).toDF("x", "y"), F.col("x"), F.col("y"))
-        edges = settle(compact(edges, 2 * n))
-        before, state = state, _state(edges)
+        before = state
+        edges, state = _settled(compact(edges, 2 * n))
         if state == before:
             break
     roots = edges.select("v", "v")

@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from motionlake.session import settle
 
-from .common import WORD, appended, appending, ascii_lower, field, fresh, settled, utf8
+from .common import WORD, appended, appending, ascii_lower, compact, counted, field, fresh, settled, utf8
 
 #: Fixed by the contract: the symbols, the least words, the most words in repeated windows (per cent).
 SYMBOLS = "#*$%&|<>"
@@ -28,6 +28,8 @@ MOST_REPEATED = 50
 #: A line is boilerplate of its host in more distinct texts than both MIN_DOCS and SHARE of the host's.
 MIN_DOCS = 20
 SHARE = 0.005
+#: Rounds that propose lines to the smallest id.
+IN_ORDER = 3
 
 _DIGIT = re.compile("[0-9]")
 
@@ -91,14 +93,21 @@ def _failed() -> Column:
 def _holders(held: DataFrame) -> DataFrame:
     """``key, first``: the document that keeps each line, of ``doc, key, words, n_words`` (documents without base failures).
 
-    In each round every open line is proposed to the smallest document that would not be depleted if it kept all its open
-    lines; lines whose proposed document survives are settled.  A host's smallest such document is proposed all its open
-    lines, so each round settles some.  A line is left out if every document that has it loses more than half of its words
-    to lines settled elsewhere.
+    In each round every open line is proposed to a document that would not be depleted if it kept all its open lines; lines
+    whose proposed document survives are settled.  The first ``IN_ORDER`` rounds propose the smallest id.  Later ones go by a
+    hash of the document and the round, so documents that share lines do not wait for each other in a row: a fixed part of
+    them gets all it asks for, and rounds grow with the logarithm of the lines.  The document that comes first gets
+    all its open lines, so each round settles some.  A line is left out if every document that has it loses more than half
+    of its words to lines settled elsewhere.
     """
     doc_id = F.col("doc.doc_id")
     own = F.col("known").isNotNull() & doc_id.eqNullSafe(F.col("first"))
 
+    def turn(id: Column, round: int) -> Column:
+        if round < IN_ORDER:
+            return F.min(id)
+        return F.min_by(id, F.when(id.isNotNull(), F.struct(F.xxhash64(id, F.lit(round)), id)))
+
     def surviving(known: DataFrame, lost: Column, lines: Column) -> DataFrame:
         """The ``lines`` of documents that are left with half of their words, each with its document."""
         named = known.select(F.col("key").alias("_key"), "first", F.lit(True).alias("known"))
@@ -108,15 +117,17 @@ def _holders(held: DataFrame) -> DataFrame:
         )
         return by_doc.where((F.col("n_words") - F.col("lost")) * 2 >= F.col("n_words")).select(F.explode("lines").alias("key"), doc_id.alias("first"))
 
-    proposed = settled(held.groupBy("key").agg(F.min(doc_id).alias("first")))
-    done, n, lines = proposed.limit(0), 0, proposed.count()
+    proposed, seen = counted(held.groupBy("key").agg(turn(doc_id, 0).alias("first")))
+    proposed = compact(proposed, seen["n"])
+    done, n, lines, round = proposed.limit(0), 0, seen["n"], 0
     while True:
-        done = settled(surviving(done.union(proposed), ~own, own).distinct())
-        before, n = n, done.count()
+        done, seen = counted(surviving(done.union(proposed), ~own, own).distinct())
+        done = compact(done, seen["n"])
+        before, n, round = n, seen["n"], round + 1
         if n in (before, lines):
             return done
         open_lines = surviving(done, F.col("known").isNotNull() & ~own, F.col("known").isNull())
-        proposed = settled(open_lines.groupBy("key").agg(F.min("first").alias("first")))
+        proposed = settled(open_lines.groupBy("key").agg(turn(F.col("first"), round).alias("first")))
 
 
 def verdicts(

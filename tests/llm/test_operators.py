@@ -157,6 +157,23 @@ def test_quality_passage_stays_once(documents):
     assert sum(s is None and lines["a"] in t for _, s, t in kept) == 22
 
 
+def test_quality_holders_take_few_rounds(spark, monkeypatch):
+    """A chain in which each document holds a line and the next one: rounds don't follow its length."""
+    n = 150
+    held = [((i, "host", i), ("host", line), words, 100) for i in range(n) for line, words in ((i, 60), (i + 1, 35)) if line < n]
+    df = spark.createDataFrame(held, "doc struct<doc_id:long,source:string,text_hash:long>, key struct<source:string,line:long>, words long, n_words long")
+    rounds = []
+    real = quality.counted
+    monkeypatch.setattr(quality, "counted", lambda *a, **k: rounds.append(1) or real(*a, **k))
+    first = {r.key.line: r.first for r in quality._holders(df).collect()}
+    assert len(rounds) <= 14
+    lost = Counter()
+    for doc, key, words, _ in held:
+        lost[doc[0]] += words * (first.get(key[1]) is not None and first[key[1]] != doc[0])
+    assert all(2 * lost[doc] <= 100 for doc in first.values())
+    assert all(line in first or all(2 * lost[doc[0]] > 100 for doc, key, *_ in held if key[1] == line) for line in range(n))
+
+
 def brute_groups(rows, k):
     sets = {}
     for id, text, *_ in rows:
