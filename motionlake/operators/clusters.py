@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,22 +32,85 @@ from .matrix import Matrix, complete_matrix, listed, selected_means
 
 SEED = 42
 RESTARTS = 10
+SEED_POINTS = 10_000
+ITERATIONS = 300
+TOLERANCE = 1e-4
 SILHOUETTE_BLOCK = 16_384
 SILHOUETTE_CHUNK = 64
 
 
-def kmeans_labels(points: DataFrame, id: str, columns: Sequence[str], k: int, restarts: int = RESTARTS) -> DataFrame:
-    """Add ``cluster``: the best of ``restarts`` k-means runs, numbered by each cluster's smallest ``id``."""
-    vectors = settle(VectorAssembler(inputCols=list(columns), outputCol="_v").transform(points))
+def _seeds(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Starting centres: points drawn one after another, by their squared distance to the centres so far."""
+    rng = np.random.default_rng(seed)
+    centres = [sample[rng.integers(len(sample))]]
+    while len(centres) < k:
+        gaps = np.min([((sample - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        if not gaps.any():  # fewer different points than clusters
+            break
+        centres.append(sample[rng.choice(len(sample), p=gaps / gaps.sum())])
+    return np.array(centres)
+
+
+def restart_sums(points: DataFrame, columns: Sequence[str], centres: list[np.ndarray]) -> dict[int, pd.DataFrame]:
+    """One pass for all restarts: size, coordinate sums and squared distances of what lies nearest to each centre.
 
-    def fit(seed: int) -> KMeansModel:
-        return KMeans(featuresCol="_v", predictionCol="_p", k=k, seed=seed, maxIter=300, tol=1e-4).fit(vectors)
+    A task returns one row per restart and cluster, whatever it reads; partial rows are added up by key.
+    """
+    dims = list(columns)
+    names = [f"s{i}" for i in range(len(dims))]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((len(c), len(dims) + 2)) for c in centres]
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(dims))])
+            if np.isnan(x).any():
+                raise ValueError("k-means needs a value in every column")
+            for own, c in zip(held, centres, strict=True):
+                gaps = np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1)
+                nearest = gaps.argmin(axis=1)
+                for j, values in enumerate([np.ones(len(x)), gaps.min(axis=1), *x.T]):
+                    own[:, j] += np.bincount(nearest, values, len(c))
+        rows = [(r, i, *own[i].tolist()) for r, own in enumerate(held) for i in range(len(own))]
+        yield pa.RecordBatch.from_pylist([dict(zip(["restart", "place", "n", "cost", *names], row, strict=True)) for row in rows], schema)
+
+    schema = pa.schema([("restart", pa.int32()), ("place", pa.int32()), *[(n, pa.float64()) for n in ("n", "cost", *names)]])
+    spec = "restart int, place int, " + ", ".join(f"{n} double" for n in ("n", "cost", *names))
+    sums = points.select(*dims).mapInArrow(partial, spec).groupBy("restart", "place").agg(*[F.sum(n).alias(n) for n in ("n", "cost", *names)])
+    # restarts x clusters rows
+    return dict(iter(sums.toPandas().sort_values(["restart", "place"]).groupby("restart")))
 
-    # the restarts are independent, so their small jobs run side by side
-    with ThreadPool(min(restarts, 5)) as pool:
-        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(SEED, SEED + restarts))
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    assigned = best.transform(vectors).drop("_v")
+
+def kmeans_labels(points: DataFrame, id: str, columns: Sequence[str], k: int, restarts: int = RESTARTS) -> DataFrame:
+    """Add ``cluster``: the best of ``restarts`` k-means runs, numbered by each cluster's smallest ``id``.
+
+    All restarts move in one pass over the points per iteration.  They start from at most ``SEED_POINTS`` points, drawn by a
+    hash of the id; a restart ends when no centre moves by more than ``TOLERANCE``, after ``ITERATIONS`` passes at the latest.
+    A centre that loses all its points stays where it is.  With fewer different points than ``k`` there are fewer clusters.
+    """
+    points = settle(points)
+    drawn = points.orderBy(F.xxhash64(F.col(id).cast("string")), id).limit(SEED_POINTS).select(*columns).toPandas().to_numpy(float)
+    if not len(drawn):
+        return points.withColumn("cluster", F.lit(0))
+    centres = [_seeds(drawn, k, SEED + r) for r in range(restarts)]
+    moving = set(range(restarts))
+    for _ in range(ITERATIONS):
+        order = sorted(moving)
+        for r, found in restart_sums(points, columns, [centres[r] for r in order]).items():
+            size = found["n"].to_numpy()[:, None]
+            moved = np.where(size > 0, found.filter(regex="^s").to_numpy() / np.maximum(size, 1), centres[order[r]])
+            if ((moved - centres[order[r]]) ** 2).sum(axis=1).max() <= TOLERANCE**2:
+                moving.discard(order[r])
+            centres[order[r]] = moved
+        if not moving:
+            break
+    costs = {r: found["cost"].sum() for r, found in restart_sums(points, columns, centres).items()}
+    best = centres[min(costs, key=lambda r: (round(costs[r], 9), r))]
+
+    def squares(centre: np.ndarray) -> Column:
+        return reduce(Column.__add__, [(F.col(d) - F.lit(float(v))) * (F.col(d) - F.lit(float(v))) for d, v in zip(columns, centre, strict=True)])
+
+    nearest = F.array_min(F.array(*[F.struct(squares(c).alias("gap"), F.lit(i).alias("place")) for i, c in enumerate(best)]))["place"]
+    assigned = points.withColumn("_p", nearest)
     first = assigned.groupBy("_p").agg(F.min(id).alias("lead")).orderBy("lead").collect()
     number = F.create_map(*[F.lit(v) for i, row in enumerate(first) for v in (row["_p"], i)])
     return assigned.withColumn("cluster", number[F.col("_p")]).drop("_p")

@@ -392,6 +392,19 @@ def _(t: Tables):
     return clusters.cluster_entities(clusters.component_analysis(t.measures, METRIC_NAMES))
 
 
+@query("d15_points_nearer_elsewhere", sql="select i as cluster, cast(0 as bigint) as points from range(3) as clusters(i)")
+def _(t: Tables):
+    """Points of each cluster that lie nearer to the mean of another one: none, once k-means has come to rest."""
+    labelled = clusters.cluster_entities(clusters.component_analysis(t.measures, METRIC_NAMES))
+    names = [c for c in labelled.columns if c.startswith("PC")][:3]
+    means = labelled.groupBy("cluster").agg(F.array(*[F.avg(c) for c in names]).alias("mean"))
+    known = means.agg(F.sort_array(F.collect_list(F.struct("cluster", "mean")))).scalar()
+    gap = lambda c: sum(((F.col(n) - F.get(c["mean"], i)) * (F.col(n) - F.get(c["mean"], i)) for i, n in enumerate(names)), F.lit(0.0))
+    own = F.array_min(F.transform(F.filter("_all", lambda c: c["cluster"] == F.col("cluster")), gap))
+    judged = labelled.select("cluster", *names, known.alias("_all")).withColumn("elsewhere", F.array_min(F.transform("_all", gap)) < own)
+    return judged.groupBy(F.col("cluster").cast("bigint").alias("cluster")).agg(F.count_if("elsewhere").alias("points"))
+
+
 def _thirds(t: Tables):
     """Labels that SQL can give too: the entity number modulo three, with three scaled metrics as coordinates."""
     m = _supplier_matrix(t)

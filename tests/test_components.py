@@ -235,3 +235,23 @@ def test_moment_silhouette_is_the_silhouette_of_squared_distances(spark):
     assert one.silhouette is None and one.clusters == 1
     plan = clusters.moment_silhouette_score(df, "id", ["x", "y"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "NestedLoop" not in plan
+
+
+def test_restarts_move_together_and_find_the_clusters(spark):
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(0, 0.3, (40, 2)), rng.normal(5, 0.3, (30, 2)), rng.normal((0, 9), 0.3, (30, 2))]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double").repartition(5)
+    got = {r.id: r.cluster for r in clusters.kmeans_labels(df, "id", ["x", "y"], 3).collect()}
+    assert [got[i] for i in range(100)] == [0] * 40 + [1] * 30 + [2] * 30
+    one = [np.array([[0.0, 0.0], [5.0, 5.0]]), np.array([[0.0, 9.0]])]
+    sums = clusters.restart_sums(df, ["x", "y"], one)
+    assert [list(s["n"]) for s in sums.values()] == [[(((x - 0) ** 2).sum(1) <= ((x - 5) ** 2).sum(1)).sum(), (((x - 0) ** 2).sum(1) > ((x - 5) ** 2).sum(1)).sum()], [100]]
+    assert sums[1]["cost"].sum() == pytest.approx(((x - [0, 9]) ** 2).sum()) and sums[1]["s0"].sum() == pytest.approx(x[:, 0].sum())
+
+
+def test_kmeans_with_few_points(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 7.0)], "id long, x double")
+    assert [r.cluster for r in clusters.kmeans_labels(df, "id", ["x"], 3).orderBy("id").collect()] == [0, 0, 1]
+    assert clusters.kmeans_labels(df.limit(0), "id", ["x"], 2).count() == 0
+    with pytest.raises(Exception, match="value in every column"):
+        clusters.kmeans_labels(spark.createDataFrame([(1, 2.0), (2, None)], "id long, x double"), "id", ["x"], 1)
