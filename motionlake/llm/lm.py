@@ -1,182 +1,167 @@
-"""Language-model scores: stupid backoff over words, computed relationally.
+"""Language-model scores: stupid backoff over n-grams of words, computed relationally.
 
-Counts cover all documents.  The vocabulary holds the words with at least ``1 / VOCABULARY`` of all words, so it has at most
-that many entries and may be broadcast; other words are one unknown word.  Pairs of words are counted in a table
-partitioned by hash.  Each document's pairs are exploded, one row for each different pair, and joined to the table; log
-scores are summed per document.  Pairs with at least ``1 / FREQUENT`` of all pairs - at most that many - are broadcast too and
-scored where the document lies, so no key of the join is hot.
+Every word and every n-gram up to ``ORDER`` words of all documents is counted; nothing is merged or left out.  Documents are
+dealt to blocks of about ``BLOCK`` bytes.  A block explodes its texts into rows ``key, block, n``, one for each different
+n-gram.  The rows are summed by key into a table partitioned by hash and joined to it; a block gets back the counts of
+n-grams that other blocks have too, since it knows the others itself.  With them its texts are scored and scores are summed
+per document.  A frequent n-gram sends one row per block, whatever the number of documents and occurrences in it.
 
-A pair's count leaves out the occurrences in the document scored; a pair nobody else has backs off to ``BACKOFF`` times the
-word's frequency.  Log scores are whole millionths of log10, so sums don't depend on their order.
+A word scores by the longest context that others have seen: an n-gram's count leaves out the occurrences in the document
+scored, and an n-gram nobody else has backs off to ``BACKOFF`` times the score of the shorter one; at last to the word's share
+of all words.  Log scores are whole millionths of log10, so sums don't depend on their order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from motionlake.session import settle
-
 from .common import WORD, WordHashes, field
 
-VOCABULARY = 1 << 16
-FREQUENT = 1 << 16
+#: Words of the longest n-gram.
+ORDER = 3
 BACKOFF = 0.4
 #: Log scores are summed as whole numbers of this part of one.
 UNIT = 1e6
-#: Texts whose pairs are counted together in a task.
-BATCH = 1024
-#: A pair is the first word's number times 2**BITS and the second's.
-BITS = 17
-
-
-def _tokens(part: pa.RecordBatch, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts (last column), and the number of words of each text."""
-    own = [hashes.array(WORD.findall(t)) if t else np.empty(0, np.uint64) for t in part.column(part.num_columns - 1).to_pylist()]
-    return np.concatenate(own).view(np.int64), np.array([len(x) for x in own])
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, BATCH):
-            yield batch.slice(start, BATCH)
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for part in _slices(batches):
-        words, n = np.unique(_tokens(part, hashes)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-
-class Vocabulary:
-    """Numbers (1 and up, most frequent first; 0 is the unknown word) and counts of the words kept."""
-
-    def __init__(self, words: list[tuple[int, int]], total: int):
-        self.words = words
-        ranked = sorted(words, key=lambda w: (-w[1], w[0]))
-        self.total = total
-        self.counts = np.array([total - sum(n for _, n in ranked)] + [n for _, n in ranked], np.int64)
-        order = np.argsort(np.array([w for w, _ in ranked], np.int64))
-        self.sorted = np.array([w for w, _ in ranked], np.int64)[order]
-        self.numbers = order + 1
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == words, self.numbers[at], 0)
-
-
-def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    counts = settle(rows.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = counts.where(F.col("n") * size >= total).toArrow().to_pydict()
-    return Vocabulary(list(zip(kept["word"], kept["n"], strict=True)), total)
-
-
-def _pairs(words: np.ndarray, lengths: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, pairs, and the text each pair is in."""
-    numbers, text = known.of(words), np.repeat(np.arange(len(lengths)), lengths)
-    inside = text[1:] == text[:-1]
-    return numbers, ((numbers[:-1] << BITS) | numbers[1:])[inside], text[1:][inside]
-
-
-def pair_counts(rows: DataFrame, sent) -> DataFrame:
-    """``pair, n`` over all texts."""
-
-    def run(batches):
-        hashes, known = WordHashes(), Vocabulary(*sent.value)
-        for part in _slices(batches):
-            pairs, n = np.unique(_pairs(*_tokens(part, hashes), known)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-    return rows.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def _log(known: Vocabulary, pairs: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log score of pairs that occur ``others`` times elsewhere, and whether it backs off."""
-    first, second = known.counts[pairs >> BITS], known.counts[pairs & ((1 << BITS) - 1)]
-    seen = others > 0
-    chance = np.where(seen, others / first, BACKOFF * second / max(known.total, 1))
-    return np.rint(UNIT * np.log10(chance)).astype(np.int64), ~seen
-
-
-def _explode(sent, frequent, out: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, (common, totals) = WordHashes(), Vocabulary(*sent.value), frequent.value
-        for part in _slices(batches):
-            words, lengths = _tokens(part, hashes)
-            numbers, pairs, text = _pairs(words, lengths, known)
-            size = part.num_rows
-            # one number for (text, pair): numbers of pairs inside this slice are small
-            different, pairs = np.unique(pairs, return_inverse=True)
-            both, own = np.unique(text * max(len(different), 1) + pairs, return_counts=True)
-            text, pairs = both // max(len(different), 1), different[both % max(len(different), 1)] if len(both) else both
-            at = np.minimum(np.searchsorted(common, pairs), max(len(common) - 1, 0))
-            here = common[at] == pairs if len(common) else np.zeros(len(pairs), bool)
-            log, off = _log(known, pairs[here], totals[at[here]] - own[here])
-            sums, backed = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            np.add.at(sums, text[here], log * own[here])
-            np.add.at(backed, text[here], off * own[here])
-            full = np.flatnonzero(lengths)
-            starts = (np.cumsum(lengths) - lengths)[full]
-            sums[full] += np.rint(UNIT * np.log10(known.counts[numbers[starts]] / max(known.total, 1))).astype(np.int64)
-            ids, rest = part.column(0), pa.array(text[~here])
-            zero = np.zeros(int((~here).sum()), np.int64)
-            # the text's own row has a pair that no table holds, another in every row
-            yield pa.RecordBatch.from_arrays([
-                ids, pa.array(-1 - np.arange(size)), pa.array(np.zeros(size, np.int64)), pa.array(lengths.astype(np.int64)), pa.array(sums), pa.array(backed),
-            ], schema=out)
-            yield pa.RecordBatch.from_arrays([ids.take(rest), pa.array(pairs[~here]), pa.array(own[~here].astype(np.int64)), *[pa.array(zero)] * 3], schema=out)
+#: Bytes of text of a block, on average.
+BLOCK = 4_000_000
+#: The n-gram of no words, which occurs as often as there are words.
+EMPTY = 0
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams that are one word longer."""
+    x = keys * _ODD + words
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+class Block:
+    """The n-grams of some texts.
+
+    ``keys`` and ``counts`` are the different n-grams, sorted by key.  ``at[k]`` numbers the n-gram of ``k + 1`` words that ends at
+    each word and ``inside[k]`` says whether it lies in one text.
+    """
+
+    def __init__(self, texts: list[str | None], order: int):
+        hashes = WordHashes()
+        own = [hashes.array(WORD.findall(t)) if t else np.empty(0, np.uint64) for t in texts]
+        self.lengths = np.array([len(x) for x in own], np.int64)
+        words = np.concatenate([np.empty(0, np.uint64), *own])
+        self.text = np.repeat(np.arange(len(texts)), self.lengths)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        grams, self.inside = [words], [np.ones(len(words), bool)]
+        for k in range(1, order):
+            keys = np.zeros(len(words), np.uint64)
+            keys[1:] = _longer(grams[-1][:-1], words[1:])
+            grams.append(keys)
+            self.inside.append(place >= k)
+        found = np.concatenate([g[i] for g, i in zip(grams, self.inside, strict=True)])
+        self.keys, numbers, self.counts = np.unique(found.view(np.int64), return_inverse=True, return_counts=True)
+        self.at, start = [], 0
+        for i in self.inside:
+            at = np.zeros(len(words), np.int64)
+            at[i] = numbers[start : (start := start + int(i.sum()))]
+            self.at.append(at)
+
+    def scores(self, totals: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log score and number of words that back off, for each text; ``totals`` are the counts of ``keys`` everywhere."""
+        n = len(self.text)
+        log, open_, backed = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, np.int64)
+        weight = np.ones(n)
+        for k in range(len(self.at) - 1, 0, -1):
+            inside = np.flatnonzero(self.inside[k])
+            _, which, counts = np.unique(self.text[inside] * len(self.keys) + self.at[k][inside], return_inverse=True, return_counts=True)
+            own = np.zeros(n, np.int64)
+            own[inside] = counts[which]
+            here = inside[open_[inside]]
+            others = totals[self.at[k][here]] - own[here]
+            seen = others > 0
+            at_seen = here[seen]
+            log[at_seen] = np.rint(UNIT * np.log10(weight[at_seen] * others[seen] / totals[self.at[k - 1][at_seen - 1]]))
+            open_[at_seen] = False
+            weight[here[~seen]] *= BACKOFF
+            backed[here[~seen]] = 1
+        left = np.flatnonzero(open_)
+        log[left] = np.rint(UNIT * np.log10(weight[left] * totals[self.at[0][left]] / max(words, 1)))
+        sums, off = np.zeros(len(self.lengths), np.int64), np.zeros(len(self.lengths), np.int64)
+        np.add.at(sums, self.text, log)
+        np.add.at(off, self.text, backed)
+        return sums, off
+
+
+def _explode(order: int):
+    def run(rows: pa.Table) -> pa.Table:
+        block = Block(rows["text"].to_pylist(), order)
+        keys = np.append(block.keys, EMPTY)
+        counts = np.append(block.counts, block.lengths.sum())
+        number = np.full(len(keys), rows["block"][0].as_py())
+        names = [pa.field(c, pa.int64(), nullable=False) for c in ("key", "block", "n")]
+        return pa.Table.from_arrays([pa.array(keys), pa.array(number), pa.array(counts)], schema=pa.schema(names))
+
+    return run
+
+
+def _score(order: int, out: pa.Schema):
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        block = Block(rows["text"].to_pylist(), order)
+        totals, words = block.counts.copy(), int(block.lengths.sum())
+        keys, counts = replies["key"].to_numpy(), replies["total"].to_numpy()
+        words = int(counts[keys == EMPTY].max(initial=words))
+        keys, counts = keys[keys != EMPTY], counts[keys != EMPTY]
+        totals[np.searchsorted(block.keys, keys)] = counts
+        sums, backed = block.scores(totals, words)
+        return pa.Table.from_arrays([rows["id"].combine_chunks(), pa.array(block.lengths), pa.array(sums), pa.array(backed)], schema=out)
 
     return run
 
 
-def score(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary_size: int = VOCABULARY, frequent_share: int = FREQUENT) -> DataFrame:
+def gram_rows(blocks: DataFrame, order: int = ORDER) -> DataFrame:
+    """``key, block, n``: the different n-grams of each block; ``EMPTY`` counts its words."""
+    return blocks.groupBy("block").applyInArrow(_explode(order), "key long not null, block long not null, n long not null")
+
+
+def replies(grams: DataFrame) -> DataFrame:
+    """``key, block, total``: for each block its n-grams that other blocks have too, with their count in all of them.
+
+    Rows are dealt by key once, for the sum and the join; both read all their columns, so that the exchange is the same.
+    A key has at most one row per block and none is held: the sum and the join stream them.
+    """
+    grams = grams.repartition("key")
+    counts = grams.groupBy("key").agg(F.sum("n").alias("total"), F.min("block").alias("a"), F.max("block").alias("z")).where("a < z")
+    return grams.join(counts.select("key", "total").hint("merge"), "key").where("total > n").select("key", "block", "total")
+
+
+def in_blocks(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
+    """``id, text, block``.  Equal rows of different input partitions are in different blocks, so copies don't fill one."""
+    rows = docs.select(field(docs, id, "id"), field(docs, text, "text"))
+    held = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    number = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(max(1, -(-held // size))))
+    return rows.select("id", "text", number.cast("long").alias("block"))
+
+
+def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, block_bytes: int = BLOCK) -> DataFrame:
     """``doc_id, n_words, n_backed_off, log_score, mean_log_score``; one row per document id.
 
-    The first word scores by its frequency, each other by the word before it.  Null and empty texts have no words, score 0
-    and a null mean.  Rows with equal ids (null is an id) are parts of one document: their words and scores add up, and
-    only the row's own occurrences are left out of a pair's count.
+    A word is scored by the ``order - 1`` words before it, as far as the text has them; ``n_backed_off`` counts the words scored by
+    fewer.  Null and empty texts have no words, score 0 and a null mean.  Rows with equal ids (null is an id) are parts
+    of one document: their words and scores add up, and only the row's own occurrences are left out of an n-gram's count.
+    The result does not depend on ``block_bytes``.
     """
     import pyspark.sql.pandas.types as arrow_types
 
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(field(docs, id, "id"), field(docs, text, "text"))
-    known = vocabulary(rows, vocabulary_size)
-    sent = context.broadcast((known.words, known.total))
-    counts = settle(pair_counts(rows, sent))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    enough = F.col("n") * frequent_share >= total
-    common = sorted(zip(*counts.where(enough).toArrow().to_pydict().values(), strict=True))
-    frequent = context.broadcast((np.array([p for p, _ in common], np.int64), np.array([n for _, n in common], np.int64)))
-    out = StructType([StructField("id", rows.schema["id"].dataType)] + [StructField(c, LongType()) for c in ("pair", "own", "n_words", "sum", "backed")])
-    exploded = rows.mapInArrow(_explode(sent, frequent, arrow_types.to_arrow_schema(out)), out)
-    rare = _with_word_counts(counts.where(~enough), known).withColumnRenamed("pair", "_pair")
-    joined = exploded.join(rare, exploded["pair"] == rare["_pair"], "left")
-    seen = F.col("n") > F.col("own")
-    chance = F.when(seen, (F.col("n") - F.col("own")) / F.col("n_first")).otherwise(F.lit(BACKOFF) * F.col("n_second") / F.lit(float(max(known.total, 1))))
-    log = F.rint(F.lit(UNIT) * F.log10(chance)).cast("long")
-    summed = joined.groupBy("id").agg(
-        F.sum("n_words").alias("n_words"),
-        F.sum(F.col("backed") + F.when(F.col("n") <= F.col("own"), F.col("own")).otherwise(F.lit(0))).alias("n_backed_off"),
-        F.sum(F.col("sum") + F.coalesce(log * F.col("own"), F.lit(0))).alias("total"),
-    )
-    scored = F.col("total") / F.lit(UNIT)
+    blocks = in_blocks(docs, id, text, block_bytes)
+    out = StructType([StructField("id", blocks.schema["id"].dataType)] + [StructField(c, LongType()) for c in ("n_words", "sum", "backed")])
+    answered = replies(gram_rows(blocks, order)).groupBy("block")
+    scored = blocks.groupBy("block").cogroup(answered).applyInArrow(_score(order, arrow_types.to_arrow_schema(out)), out)
+    summed = scored.groupBy("id").agg(F.sum("n_words").alias("n_words"), F.sum("backed").alias("n_backed_off"), F.sum("sum").alias("total"))
+    total = F.col("total") / F.lit(UNIT)
     return summed.select(
-        F.col("id").alias("doc_id"), "n_words", "n_backed_off", scored.alias("log_score"), (scored / F.nullif("n_words", F.lit(0))).alias("mean_log_score")
+        F.col("id").alias("doc_id"), "n_words", "n_backed_off", total.alias("log_score"), (total / F.nullif("n_words", F.lit(0))).alias("mean_log_score")
     )
-
-
-def _with_word_counts(counts: DataFrame, known: Vocabulary) -> DataFrame:
-    numbers = [(i, n) for i, n in enumerate(known.counts.tolist())]
-    table = counts.sparkSession.createDataFrame(numbers, "number long, words long")
-    first, second = F.broadcast(table.toDF("_a", "n_first")), F.broadcast(table.toDF("_b", "n_second"))
-    named = counts.withColumn("_a", F.shiftright("pair", BITS)).withColumn("_b", F.col("pair").bitwiseAND(F.lit((1 << BITS) - 1)))
-    return named.join(first, "_a").join(second, "_b").drop("_a", "_b")

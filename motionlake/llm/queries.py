@@ -124,31 +124,42 @@ from (select doc_id, min(node) as least_id from reach group by doc_id) left join
 with parts as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents
 ), words as (
-  select doc_id, unnest(w) as raw, generate_subscripts(w, 1) as i from parts
+  select doc_id, unnest(w) as z, generate_subscripts(w, 1) as i from parts
 ), total as (
   select count(*) as total_words from words
-), vocabulary as (
-  select raw, count(*) as n from words group by raw having count(*) * 65536 >= (select total_words from total)
-), tokens as (
-  select doc_id, i, coalesce(v.raw, '') as x from words left join vocabulary v using (raw)
+), places as (
+  select c.doc_id, c.i, a.z as x, b.z as y, c.z from words c
+  left join words b on b.doc_id = c.doc_id and b.i = c.i - 1 left join words a on a.doc_id = c.doc_id and a.i = c.i - 2
 ), singles as (
-  select x, count(*) as n from tokens group by x
+  select z, count(*) as n from words group by z
+), own_pairs as (
+  select doc_id, y, z, count(*) as own from places where i > 1 group by all
 ), pairs as (
-  select a.doc_id, a.x as x, b.x as y, count(*) as own from tokens a join tokens b on a.doc_id = b.doc_id and b.i = a.i + 1 group by all
-), counts as (
-  select x, y, sum(own) as n from pairs group by all
+  select y, z, sum(own) as n from own_pairs group by all
+), own_triples as (
+  select doc_id, x, y, z, count(*) as own from places where i > 2 group by all
+), triples as (
+  select x, y, z, sum(own) as n from own_triples group by all
+), found as (
+  select p.doc_id, p.i, t.n - ot.own as others3, before.n as n_before, d.n - od.own as others2, sy.n as n_y, sz.n as n_z
+  from places p join singles sz on sz.z = p.z
+  left join singles sy on sy.z = p.y
+  left join pairs d on d.y = p.y and d.z = p.z left join own_pairs od on od.doc_id = p.doc_id and od.y = p.y and od.z = p.z
+  left join pairs before on before.y = p.x and before.z = p.y
+  left join triples t on t.x = p.x and t.y = p.y and t.z = p.z
+  left join own_triples ot on ot.doc_id = p.doc_id and ot.x = p.x and ot.y = p.y and ot.z = p.z
 ), logs as (
-  select doc_id, own, c.n > own as seen, round(1e6 * log10(case when c.n > own then (c.n - own) / f.n::double else 0.4::double * s.n / total_words::double end)) as log
-  from pairs join counts c using (x, y) join singles f on f.x = pairs.x join singles s on s.x = pairs.y, total
-), later as (
-  select doc_id, sum(own * log) as total, sum(case when seen then 0 else own end) as backed from logs group by doc_id
-), firsts as (
-  select doc_id, round(1e6 * log10(n / total_words::double)) as log from tokens join singles using (x), total where i = 1
+  select doc_id, (i > 2 and others3 = 0) or (i = 2 and others2 = 0) as backed, round(1e6 * log10(case
+    when others3 > 0 then others3 / n_before::double
+    when others2 > 0 then case when i > 2 then 0.4::double else 1 end * others2 / n_y::double
+    else case when i > 2 then 0.4::double * 0.4::double when i = 2 then 0.4::double else 1 end * n_z / total_words::double end)) as log
+  from found, total
+), summed as (
+  select doc_id, sum(log) as total, count(*) filter (where backed) as n_backed_off from logs group by doc_id
 )
-select doc_id, len(w)::bigint as n_words, coalesce(backed, 0)::bigint as n_backed_off,
-  (coalesce(firsts.log, 0) + coalesce(later.total, 0)) / 1e6::double as log_score,
-  (coalesce(firsts.log, 0) + coalesce(later.total, 0)) / 1e6::double / nullif(len(w), 0)::double as mean_log_score
-from parts left join later using (doc_id) left join firsts using (doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_backed_off, 0)::bigint as n_backed_off,
+  coalesce(total, 0) / 1e6::double as log_score, coalesce(total, 0) / 1e6::double / nullif(len(w), 0)::double as mean_log_score
+from parts left join summed using (doc_id)
 """,
     "op5_substring_dedup": rf"""
 with words as (

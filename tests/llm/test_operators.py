@@ -304,26 +304,57 @@ def test_decontamination(documents, spark, rows):
     assert decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def brute_scores(rows, order):
+    """Per row ``(id, words, backed off, log score in millionths)`` by dictionaries."""
+    tokens = [WORD.findall(r[1] or "") for r in rows]
+    grams = [[tuple(t[i : i + k]) for k in range(1, order + 1) for i in range(len(t) - k + 1)] for t in tokens]
+    counts = Counter(g for own in grams for g in own)
+    total = sum(map(len, tokens))
+    for row, t, own in zip(rows, tokens, map(Counter, grams), strict=True):
+        score = backed = 0
+        for i in range(len(t)):
+            context = min(order - 1, i)
+            for k in range(context, -1, -1):
+                gram = tuple(t[i - k : i + 1])
+                if k and counts[gram] == own[gram]:
+                    continue
+                n, of = (counts[gram] - own[gram], counts[gram[:-1]]) if k else (counts[gram], total)
+                score += round(1e6 * np.log10(0.4 ** (context - k) * n / of))
+                backed += k < context
+                break
+        yield row[0], len(t), backed, score
+
+
 def test_lm(documents, rows):
-    got = {x.doc_id: x for x in lm.score(documents(rows), vocabulary_size=200, frequent_share=50).collect()}
-    tokens = {r[0]: WORD.findall(r[1] or "") for r in rows}
-    counts = Counter(w for t in tokens.values() for w in t)
-    total = sum(counts.values())
-    known = {w for w, n in counts.items() if n * 200 >= total}
-    tokens = {i: [w if w in known else "" for w in t] for i, t in tokens.items()}
-    single = Counter(w for t in tokens.values() for w in t)
-    pairs = Counter(p for t in tokens.values() for p in zip(t, t[1:], strict=False))
-    for id, t in tokens.items():
-        own = Counter(zip(t, t[1:], strict=False))
-        score, backed = (round(1e6 * np.log10(single[t[0]] / total)) if t else 0), 0
-        for (a, b), c in own.items():
-            n = pairs[a, b] - c
-            score += c * round(1e6 * np.log10(n / single[a] if n else 0.4 * single[b] / total))
-            backed += c * (not n)
-        assert (got[id].n_words, got[id].n_backed_off) == (len(t), backed) and got[id].log_score == pytest.approx(score / 1e6, abs=1e-6 * max(1, len(t)))
+    for order, block in ((1, 100_000), (2, 10_000), (3, 3_000), (3, 10**9), (4, 20_000)):
+        got = {x.doc_id: x for x in lm.score(documents(rows), order=order, block_bytes=block).collect()}
+        for id, n, backed, score in brute_scores(rows, order):
+            assert (got[id].n_words, got[id].n_backed_off) == (n, backed) and got[id].log_score == pytest.approx(score / 1e6, abs=1e-6 * max(1, n))
+            assert got[id].mean_log_score is None if not n else got[id].mean_log_score == pytest.approx(got[id].log_score / n)
     assert lm.score(documents([])).count() == 0
 
 
+def test_lm_counts_every_word(documents, spark):
+    """Rare words are told apart, rows of one id add up, and a text that another repeats scores above one that nobody has."""
+    r = random.Random(4)
+    alone = " ".join(f"a{i}" for i in range(80))
+    twice = " ".join(f"b{i}" for i in range(80))
+    rows = [(1, alone, "en", "x"), (2, twice, "en", "x"), (3, twice, "en", "y"), (4, None, None, None), (None, "c d c d", "en", "x"), (None, "c d", "en", "x"), (5, "", "en", "x")]
+    rows += [(10 + i, prose(80, r), "en", "x") for i in range(20)] + [(7, prose(9, r), "en", "x")] * 40
+    got = {x.doc_id: x for x in lm.score(documents(rows), block_bytes=500).collect()}
+    assert got[2].n_backed_off == got[3].n_backed_off == 0 and got[1].n_backed_off == 79
+    assert got[2].mean_log_score > max(x.mean_log_score for i, x in got.items() if x.n_words and i is not None and i not in (2, 3, 7))
+    want = Counter()
+    for id, n, backed, score in brute_scores(rows, 3):
+        want[id, "n"] += n
+        want[id, "backed"] += backed
+        want[id, "score"] += score
+    assert all((x.n_words, x.n_backed_off) == (want[i, "n"], want[i, "backed"]) and round(1e6 * x.log_score) == pytest.approx(want[i, "score"], abs=40) for i, x in got.items())
+    blocks = lm.in_blocks(documents(rows), "doc_id", "text", 500)
+    keys = lm.gram_rows(blocks, 1).where(f"key <> {lm.EMPTY}").select("key").distinct().count()
+    assert keys == len({w for _, t, *_ in rows for w in WORD.findall(t or "")})
+
+
 def test_language(spark, documents):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = language.held_out(docs["doc_id"])
