@@ -1,9 +1,9 @@
 """Quality rules: statistics of a text, and line frequency across the documents of a host.
 
-Lines are normalised and hashed; for each host (the source column) and line the distinct texts holding it are counted.  A
-line above its host's limit is taken out of every document but the first (smallest id) that has it.  A document that loses
-more than half of its words is depleted and rejected.  ``clean`` looks for the first among documents that are kept, so
-that a passage stays once.
+Lines are normalised and hashed; for each host (the source column) and line the distinct documents holding it are counted.  A
+line in more than ``MIN_DOCS`` of them, whatever the size of the host, is taken out of every document but the first that has
+it: the smallest id among those that pass the base rules.  A document that loses more than half of its words is depleted and
+rejected.  ``clean`` looks for the first among documents that are kept, so that a passage stays once.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from .common import WORD, appended, appending, ascii_lower, compact, counted, fi
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-#: A line is boilerplate of its host in more distinct texts than both MIN_DOCS and SHARE of the host's.
+#: A line is boilerplate of its host in more distinct documents.
 MIN_DOCS = 20
-SHARE = 0.005
 #: Rounds that propose lines to the smallest id.
 IN_ORDER = 3
 
@@ -131,26 +130,24 @@ def _holders(held: DataFrame) -> DataFrame:
 
 
 def verdicts(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE,
-    represent: bool = False,
-) -> DataFrame:
+    docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, represent: bool = False
+) -> DataFrame:
     """One row per document row: ``doc_id, source, text_hash``, the statistics, ``n_removed`` (words in lines taken out),
     ``removed`` (hashes of those lines or null), ``base_failed`` and ``kept``.
 
-    Null text has no words and fails.  The null host is a host.  Rows equal in id, host and text get equal verdicts; a line
-    whose documents all have null ids stays in them.  With ``represent``, a line's first document is one that is kept.
+    Null text has no words and fails.  The null host is a host.  Rows equal in id, host and text get equal verdicts.  Null ids
+    are not counted, and where the documents that pass the base rules have no other id, those without id keep the line.  With
+    ``represent``, a line's first document is one that is kept.
     """
     rows = docs.select(
         field(docs, id, "doc_id"), field(docs, host, "source"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), field(docs, text, "text")
     )
     base = settle(rows.mapInArrow(appending(text_statistics, ["text"], _STATISTICS), appended(rows, _STATISTICS)).drop("text"))
-    hosts = base.select("source", "text_hash").distinct().groupBy("source").agg(F.count("*").alias("_texts"))
     once = base.select("doc_id", "source", "text_hash", "n_words", _failed().alias("failed"), F.explode(F.arrays_zip("lines", "line_words")).alias("_l"))
     once = once.select("doc_id", "source", "text_hash", "n_words", "failed", F.col("_l.lines").alias("line"), F.col("_l.line_words").alias("words"))
-    counted = once.groupBy("source", "line").agg(F.countDistinct("text_hash").alias("_n"), F.min("doc_id").alias("_first"))
-    counted = counted.where(F.col("_n") > min_docs).withColumnsRenamed({"source": "_source", "line": "_line"})
-    limited = counted.join(hosts, counted["_source"].eqNullSafe(hosts["source"])).where(F.col("_n") > F.col("_texts") * share)
-    limited = limited.select("_source", "_line", "_first")
+    first = F.min(F.when(~F.col("failed"), F.col("doc_id")))
+    limited = once.groupBy("source", "line").agg(F.countDistinct("doc_id").alias("_n"), first.alias("_first")).where(F.col("_n") > min_docs)
+    limited = limited.select(F.col("source").alias("_source"), F.col("line").alias("_line"), "_first")
     once = once.dropDuplicates(["doc_id", "source", "text_hash", "line"])
     held = once.join(limited, (once["line"] == limited["_line"]) & once["source"].eqNullSafe(limited["_source"]))
     stays = F.col("doc_id").eqNullSafe(F.col("_first"))

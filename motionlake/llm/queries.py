@@ -222,22 +222,21 @@ with words as (
 ), normal as (
   select doc_id, source, text, regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') as line, sum(len(lw)) as n
   from lined group by all
-), hosts as (
-  select source, count(distinct text) as texts from documents group by source
+), base as (
+  select doc_id, len(w) < 50 or 100 * coalesce(n_repeat_words, 0) > 50 * len(w) as base_failed from words left join repeats using (doc_id)
 ), frequent as (
-  select source, line, min(doc_id) as first_id from normal join hosts using (source)
-  group by source, line, texts having count(distinct text) > 20 and count(distinct text) > texts * 0.005
+  select source, line, min(doc_id) filter (where not base_failed) as first_id from normal join base using (doc_id)
+  group by source, line having count(distinct doc_id) > 20
 ), lost as (
-  select doc_id, sum(n)::bigint as n_removed from normal join frequent using (source, line) where doc_id <> first_id group by doc_id
+  select doc_id, sum(n)::bigint as n_removed from normal join frequent on normal.line = frequent.line and normal.source is not distinct from frequent.source
+  where doc_id is distinct from first_id group by doc_id
 ), all_of as (
-  select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+  select doc_id, base_failed, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
     coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_removed, 0)::bigint as n_removed
-  from words left join duplicates using (doc_id) left join repeats using (doc_id) left join lost using (doc_id)
+  from words join base using (doc_id) left join duplicates using (doc_id) left join repeats using (doc_id) left join lost using (doc_id)
 )
-select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 2 * (n_words - n_removed) >= n_words as kept
-from all_of
+select *, not base_failed and 2 * (n_words - n_removed) >= n_words as kept from all_of
 """,
     "op9_decontamination": r"""
 with parts as (

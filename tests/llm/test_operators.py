@@ -127,11 +127,11 @@ def test_quality_lines(documents):
     rows = [(i, f"{prose(70, r)}\n{line}\n", "en", "host") for i in range(30)]
     rows += [(100 + i, f"{prose(3, r)} x{i} \n{other}", "en", "host") for i in range(30)] + [(200, f"{prose(60, r)}\n{line}", "en", "else"), (300, None, "en", "host")]
     docs = documents(rows)
-    got = {x.doc_id: x for x in quality.verdicts(docs, share=0.0).collect()}
+    got = {x.doc_id: x for x in quality.verdicts(docs).collect()}
     assert not got[0].n_removed and all(got[i].n_removed == 7 and got[i].kept for i in range(1, 30))
     assert got[100].kept and not any(got[i].kept or got[i].base_failed for i in range(101, 130))
     assert got[200].kept and got[200].n_removed == 0 and got[300].base_failed and not got[300].kept
-    kept = {x.doc_id: x for x in quality.clean(docs.fillna(7, ["n_chars"]), share=0.0).collect()}
+    kept = {x.doc_id: x for x in quality.clean(docs.fillna(7, ["n_chars"])).collect()}
     assert set(kept) == {*range(30), 100, 200} and line in kept[0].text and line not in kept[1].text
     assert kept[1].n_chars == len(kept[1].text) and kept[0].n_chars == 7
     assert quality.clean(docs.limit(0)).count() == 0
@@ -151,12 +151,26 @@ def test_quality_passage_stays_once(documents):
     # null ids and a null host
     rows += [(None, f"{own(i, 70)}\n{lines['a']}", "en", None) for i in range(22)]
     docs = documents(rows)
-    kept = [(x.doc_id, x.source, x.text) for x in quality.clean(docs, share=0.0).collect()]
+    kept = [(x.doc_id, x.source, x.text) for x in quality.clean(docs).collect()]
     assert {(i, c) for i, s, t in kept for c, line in lines.items() if s and line in t.split("\n")} == {(1, "a"), (101, "d"), (101, "e"), (200, "b"), (250, "c")}
     assert sorted(i for i, s, _ in kept if s) == [*range(1, 26), 101, 200, *range(250, 275)]
     assert sum(s is None and lines["a"] in t for _, s, t in kept) == 22
 
 
+def test_quality_counts_documents_at_any_size(documents):
+    """Identical pages count one by one, the limit is the same in large hosts, and a line's first document passes the base rules."""
+    r = random.Random(33)
+    page, line, rare = prose(80, r), prose(8, r), prose(9, r)
+    rows = [(i, page, "en", "pages") for i in range(10_000)]
+    rows += [(20_000 + i, f"{prose(55, r)} n{i}" + f"\n{line}" * (i < 21) + f"\n{rare}" * (i < 20), "en", "large") for i in range(4_500)]
+    rows += [(19_999, line, "en", "large")]
+    got = {x.doc_id: x for x in quality.verdicts(documents(rows)).select("doc_id", "n_removed", "base_failed", "kept").collect()}
+    assert [i for i in range(10_000) if got[i].kept] == [0] and got[1].n_removed == 80
+    assert got[19_999].base_failed and got[20_000].n_removed == 0
+    assert all(got[20_000 + i].n_removed == 8 for i in range(1, 21)) and all(got[20_000 + i].kept for i in range(4_500))
+    assert not any(got[20_000 + i].n_removed for i in range(21, 4_500))
+
+
 def test_quality_holders_take_few_rounds(spark, monkeypatch):
     """A chain in which each document holds a line and the next one: rounds don't follow its length."""
     n = 150
