@@ -18,6 +18,7 @@ from ..functions.numeric import band
 from ..session import settle
 from .components import (
     Spectrum,
+    Suitability,
     component_count,
     export_table,
     kaiser_count,
@@ -315,7 +316,7 @@ class ComponentAnalysis:
 
     matrix: Matrix
     spectrum: Spectrum
-    suitability: dict
+    suitability: Suitability
     n_kaiser: int
     n_parallel: int
     n_components: int

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,9 @@ from .matrix import Matrix
 
 BIPLOT_METRICS = 10
 HIGH_LOADING = 0.3
+#: Keeps quotients defined; log of the least determinant.
+TINY = 1e-10
+LEAST_LOG = math.log(1e-300)
 
 
 @dataclass(frozen=True)
@@ -50,28 +54,38 @@ def spectrum(matrix: Matrix, r: np.ndarray | None = None) -> Spectrum:
     return Spectrum(eigenvalues, ratios, components * signs[:, None], matrix.n)
 
 
-def suitability(r: np.ndarray, n: int) -> dict[str, float | int | None]:
-    """Sampling adequacy (KMO) and Bartlett's sphericity test; all NULL when the matrix defeats them."""
+class Suitability(NamedTuple):
+    """Whether metrics share enough variance for components; NULL where the correlations are undefined."""
+
+    kmo: float | None = None
+    bartlett_chi2: float | None = None
+    bartlett_p: float | None = None
+    bartlett_dof: int | None = None
+
+
+def partial_correlations(r: np.ndarray) -> np.ndarray:
+    """Correlation of each two metrics with all others held fixed, from the precision matrix; its diagonal is 0."""
+    precision = np.linalg.pinv(r)
+    own = np.diag(precision) + TINY
+    partial = -precision / np.sqrt(own[:, None] * own[None, :])
+    np.fill_diagonal(partial, 0.0)
+    return partial
+
+
+def suitability(r: np.ndarray, n: int) -> Suitability:
+    """Sampling adequacy (share of plain in plain and partial squared correlations) and Bartlett's sphericity test."""
     p = len(r)
-    try:
-        inverse = np.linalg.pinv(r)
-        scale = 1.0 / np.sqrt(np.diag(inverse) + 1e-10)
-        partial = -inverse * np.outer(scale, scale)
-        off_diagonal = ~np.eye(p, dtype=bool)
-        plain_squares, partial_squares = (r[off_diagonal] ** 2).sum(), (partial[off_diagonal] ** 2).sum()
-        kmo = plain_squares / (plain_squares + partial_squares + 1e-10)
-        chi2 = -((n - 1) - (2 * p + 5) / 6) * math.log(max(np.linalg.det(r), 1e-300))
-        if not (math.isfinite(kmo) and math.isfinite(chi2)):
-            raise ValueError("no finite statistic")
-        dof = p * (p - 1) // 2
-        return {
-            "kmo": round(float(kmo), 3),
-            "bartlett_chi2": round(float(chi2), 1),
-            "bartlett_p": chi2_tail(float(chi2), dof),
-            "bartlett_dof": dof,
-        }
-    except (np.linalg.LinAlgError, ValueError):
-        return {"kmo": None, "bartlett_chi2": None, "bartlett_p": None, "bartlett_dof": None}
+    if not np.isfinite(r).all():
+        return Suitability()
+    shared = np.square(r).sum() - np.square(np.diag(r)).sum()
+    kmo = shared / (shared + np.square(partial_correlations(r)).sum() + TINY)
+    sign, log_determinant = np.linalg.slogdet(r)
+    log_determinant = max(log_determinant, LEAST_LOG) if sign > 0 else LEAST_LOG
+    chi2 = float(((2 * p + 5) / 6 - (n - 1)) * log_determinant)
+    if not (math.isfinite(kmo) and math.isfinite(chi2)):
+        return Suitability()
+    dof = p * (p - 1) // 2
+    return Suitability(round(float(kmo), 3), round(chi2, 1), chi2_tail(chi2, dof), dof)
 
 
 def parallel_thresholds(

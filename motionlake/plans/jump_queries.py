@@ -350,7 +350,7 @@ def _(t: Tables):
     m = _order_matrix(t).varying()
     found = components.suitability(m.correlation(), m.n)
     return t.spark.createDataFrame(
-        [tuple(found.values())], "kmo double, bartlett_chi2 double, bartlett_p double, bartlett_dof int"
+        [tuple(found)], "kmo double, bartlett_chi2 double, bartlett_p double, bartlett_dof int"
     )
 
 

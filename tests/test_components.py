@@ -77,10 +77,12 @@ def test_suitability(analysis):
     d = np.sqrt(np.outer(np.diag(inverse), np.diag(inverse)))
     off = ~np.eye(5, dtype=bool)
     plain, partial = (r[off] ** 2).sum(), ((inverse / d)[off] ** 2).sum()
-    assert found["kmo"] == pytest.approx(plain / (plain + partial), abs=1e-3)
-    assert found["bartlett_chi2"] == pytest.approx(-(29 - 15 / 6) * np.log(np.linalg.det(r)), abs=0.06)
-    assert found["bartlett_dof"] == 10 and found["bartlett_p"] < 1e-6
-    assert components.suitability(np.full((3, 3), np.nan), 5) == dict.fromkeys(found)
+    assert found.kmo == pytest.approx(plain / (plain + partial), abs=1e-3)
+    assert found.bartlett_chi2 == pytest.approx(-(29 - 15 / 6) * np.log(np.linalg.det(r)), abs=0.06)
+    assert found.bartlett_dof == 10 and found.bartlett_p < 1e-6
+    assert components.suitability(np.full((3, 3), np.nan), 5) == components.Suitability()
+    least = components.suitability(np.ones((3, 3)), 30)  # singular: the least determinant stands for 0
+    assert least.bartlett_chi2 == pytest.approx((29 - 11 / 6) * 300 * np.log(10), abs=0.06) and 0 <= least.kmo <= 1
 
 
 def test_parallel_thresholds(spark):
