@@ -84,10 +84,10 @@ def _target(level: float, repeat: int) -> Column:
 def mix_plan(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, copies, taken``.
 
-    Null text has size 0; a source without words has target 0 and gives no copies.  Documents with equal ids (or null
-    ids) share one draw.  Reruns draw alike.
+    Null text has size 0; a source without words has target 0 and gives no copies.  Documents with equal ids share one draw,
+    those without id if their texts are equal.  Reruns draw alike.
     """
-    sized = docs.select(field(docs, id, "doc_id"), field(docs, source, "source"), n_words(docs[f"`{text}`"]).alias("size"))
+    sized = docs.select(field(docs, id, "doc_id"), field(docs, source, "source"), n_words(docs[f"`{text}`"]).alias("size"), _draw(docs, id, text))
     planned = _with_copies(sized, targets(source_sizes(docs, source, text)), seed)
     return planned.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -95,16 +95,22 @@ def mix_plan(docs: DataFrame, id: str = "doc_id", source: str = "source", text:
 def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: each row as often as its plan says."""
     names = docs.columns
-    packed = docs.select(field(docs, id, "doc_id"), field(docs, source, "source"), F.struct(*[f"`{c}`" for c in names]).alias("_row"))
+    packed = docs.select(field(docs, id, "doc_id"), field(docs, source, "source"), F.struct(*[f"`{c}`" for c in names]).alias("_row"), _draw(docs, id, text))
     planned = _with_copies(packed, targets(source_sizes(docs, source, text)), seed)
     copies = planned.where("copies > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_i"))
     return copies.select([F.col("_row").getField(c).alias(c) for c in names])
 
 
+def _draw(docs: DataFrame, id: str, text: str):
+    """What a document's draw is made of: its id, or else its text."""
+    by_text = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    return F.coalesce(F.col(f"`{id}`").cast("string"), by_text).alias("_draw")
+
+
 def _with_copies(rows: DataFrame, goals: DataFrame, seed: str) -> DataFrame:
     goals = goals.withColumnRenamed("source", "_source")
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
-    extra = unit_interval(seed, F.col("doc_id")) < F.col("_rate") - F.floor("_rate")
+    extra = unit_interval(seed, F.col("_draw")) < F.col("_rate") - F.floor("_rate")
     return (
         rows.join(goals, rows["source"].eqNullSafe(goals["_source"]))
         .withColumn("_rate", rate)

@@ -375,7 +375,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHI
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
     """One row of each group, that of the smallest id, with all columns; rows without id stay.  Of rows with one id, one."""
     kept = groups(docs, id, text, k).where("kept and doc_id is not null").select("doc_id").distinct()
-    (rank,) = fresh(docs, "_rank")
+    rank, named_id = fresh(docs, "_rank", "_id")
     first = F.row_number().over(Window.partitionBy(f"`{id}`").orderBy(F.xxhash64(f"`{text}`")))
-    named = docs.where(F.col(f"`{id}`").isNotNull()).join(kept.withColumnRenamed("doc_id", "_id"), F.col(f"`{id}`") == F.col("_id"), "left_semi")
+    named = docs.where(F.col(f"`{id}`").isNotNull()).join(kept.withColumnRenamed("doc_id", named_id), F.col(f"`{id}`") == F.col(named_id), "left_semi")
     return named.withColumn(rank, first).where(F.col(rank) == 1).drop(rank).union(docs.where(F.col(f"`{id}`").isNull()))

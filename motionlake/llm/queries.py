@@ -180,7 +180,7 @@ from words left join kept using (doc_id)
 """,
     "op6_mixing": rf"""
 with recursive sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size from documents
+  select doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size from documents
 ), totals as (
   select source, sum(size)::bigint as source_size from sized group by source
 ), weighted as (
@@ -196,11 +196,11 @@ with recursive sized as (
   select source, source_size, least(level * weight, (source_size * 2)::double) as target
   from weighted, (select level from levels order by round desc limit 1)
 ), rated as (
-  select doc_id, size, source_size, target, coalesce(target / nullif(source_size, 0)::double, 0) as rate
+  select doc_id, text, size, source_size, target, coalesce(target / nullif(source_size, 0)::double, 0) as rate
   from sized join goals on sized.source is not distinct from goals.source
 )
 select doc_id, size, source_size, target,
-  (size * (floor(rate) + case when ('0x' || md5('mix:' || coalesce(doc_id::varchar, ''))[1:13])::bigint::double / 4503599627370496.0::double < rate - floor(rate) then 1 else 0 end))::bigint as taken
+  (size * (floor(rate) + case when ('0x' || md5('mix:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, ''))))[1:13])::bigint::double / 4503599627370496.0::double < rate - floor(rate) then 1 else 0 end))::bigint as taken
 from rated
 """,
     "op8_quality_rules": rf"""

@@ -17,10 +17,12 @@ from random import Random
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from motionlake.session import settle
+
 from .common import appended, appending, by_text, field, utf8
 
 BASE = ("assign", "access", "hex")
@@ -286,12 +288,17 @@ def _labelled(text: str | None):
 
 
 def corpus_sample(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most ``size`` windows of either label, those with the smallest hashes; tasks keep no more than that each."""
+    """At most ``size`` windows of either label, those with the smallest hashes.
+
+    The texts are read once; of the windows written, each task keeps ``size`` of a label and so does the merge.
+    """
     out = StructType([StructField("label", IntegerType()), StructField("hash", LongType()), StructField("seen", StringType())])
-    rows = docs.select(field(docs, text, "text")).mapInArrow(by_text(_labelled, out), out)
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("hash", "seen"))
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= size)
-    return sorted((r["seen"], r["label"]) for r in rows.select("seen", "label").collect())
+    rows = settle(docs.select(field(docs, text, "text")).mapInArrow(by_text(_labelled, out), out))
+    return sorted((r["seen"], r["label"]) for label in (0, 1) for r in first_windows(rows, label, size).collect())
+
+
+def first_windows(rows: DataFrame, label: int, size: int) -> DataFrame:
+    return rows.where(F.col("label") == label).orderBy("hash", "seen").limit(size)
 
 
 def train(docs: DataFrame, text: str = "text") -> dict:

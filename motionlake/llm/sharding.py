@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Slots per shard, at least: shares of the key space then differ by one per cent at most.
 SLOTS_PER_SHARD = 100
 
@@ -69,9 +71,11 @@ def place(docs: DataFrame, names: list[str], key: str = "doc_id", size: int | No
     size = size or table_size(len(names))
     digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
     slot = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(size)
-    keyed = docs.withColumn("_slot", slot).drop("slot", "shard")
-    table = F.broadcast(table_rows(docs.sparkSession, names, size).withColumnRenamed("slot", "_slot"))
-    return keyed.join(table, "_slot").withColumnRenamed("_slot", "slot").select(*keyed.drop("_slot").columns, "slot", "shard")
+    its, at = fresh(docs, "_its_slot", "_slot")
+    keyed = docs.withColumn(its, slot).drop("slot", "shard")
+    table = F.broadcast(table_rows(docs.sparkSession, names, size).withColumnRenamed("slot", at))
+    others = [f"`{c}`" for c in keyed.columns if c != its]
+    return keyed.join(table, F.col(its) == F.col(at)).select(*others, F.col(its).alias("slot"), "shard")
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:

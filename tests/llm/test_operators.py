@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motionlake.llm import components, decontamination, language, lm, mixing, neardup, pii, quality, secrets, sharding, substrings
 
@@ -107,6 +108,36 @@ def test_mix(documents, rows):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_without_ids(documents):
+    """Documents without id are drawn one by one, so a source of them meets its target."""
+    r = random.Random(12)
+    docs = documents([(None if s == "c" else i, prose(30, r), "en", s) for i in range(300) for s in "abc"])
+    plan = mixing.mix_plan(docs).where("doc_id is null").collect()
+    assert abs(sum(x.taken for x in plan) - plan[0].target) < 0.1 * plan[0].target
+    assert len({x.copies for x in plan}) == 2 and mixing.mix(docs).count() == sum(x.copies for x in mixing.mix_plan(docs).collect())
+
+
+def test_clashing_names(documents, rows):
+    """Columns that operators use inside, and names with a dot, pass through."""
+    docs = documents(rows).withColumn("_slot", F.lit(5)).withColumn("_id", F.lit(6)).withColumn("a.b", F.lit(7))
+    placed = sharding.place(docs, ["x", "y", "z"])
+    assert placed.columns == [*docs.columns, "slot", "shard"]
+    assert {tuple(x) for x in placed.select("_slot", "_id", "`a.b`").distinct().collect()} == {(5, 6, 7)}
+    assert {x.doc_id: x.shard for x in placed.collect()} == {x.doc_id: x.shard for x in sharding.place(documents(rows), ["x", "y", "z"]).collect()}
+    one = neardup.dedup(docs.drop("a.b"))
+    assert one.columns == docs.columns[:-1] and one.count() == neardup.dedup(documents(rows)).count()
+
+
+def test_secrets_sample_is_merged_in_parts(spark):
+    """The smallest hashes of a label, found by a bounded merge and not by a window over all findings."""
+    found = [(i % 2, (i * 7919) % 5003, f"w{i % 11}") for i in range(20_000)]
+    rows = spark.createDataFrame(found, "label int, hash long, seen string").repartition(16)
+    got = secrets.first_windows(rows, 1, 1500)
+    assert [tuple(x) for x in got.collect()] == sorted(x for x in found if x[0] == 1)[:1500]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan
+
+
 def test_quality_counts_by_brute_force(rows):
     for text in [r[1] for r in rows] + ["a b c a b c", "x\nx\ny z\nx", "1 1 1 1"]:
         words = WORD.findall(text or "")
