@@ -294,7 +294,8 @@ def corpus_sample(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> li
     """
     out = StructType([StructField("label", IntegerType()), StructField("hash", LongType()), StructField("seen", StringType())])
     rows = settle(docs.select(field(docs, text, "text")).mapInArrow(by_text(_labelled, out), out))
-    return sorted((r["seen"], r["label"]) for label in (0, 1) for r in first_windows(rows, label, size).collect())
+    # below a union the parts are merged in a task, not in the driver
+    return sorted((r["seen"], r["label"]) for r in first_windows(rows, 0, size).union(first_windows(rows, 1, size)).collect())
 
 
 def first_windows(rows: DataFrame, label: int, size: int) -> DataFrame:
