@@ -38,6 +38,8 @@ ITERATIONS = 300
 TOLERANCE = 1e-4
 SILHOUETTE_BLOCK = 16_384
 SILHOUETTE_CHUNK = 64
+#: Blocks that are formed for their small size alone; pairs of blocks grow with its square.
+SILHOUETTE_BLOCKS = 48
 
 
 def _seeds(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -121,16 +123,23 @@ def cluster_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
+def silhouette_blocks(n: int, block: int) -> int:
+    """Blocks for ``n`` points: of ``block`` each, or fewer and larger ones, of up to ``SILHOUETTE_BLOCK`` points."""
+    return max(1, min(-(-n // block), max(SILHOUETTE_BLOCKS, -(-n // SILHOUETTE_BLOCK))))
+
+
 def distance_sums(labelled: DataFrame, id: str, columns: Sequence[str], block: int = SILHOUETTE_BLOCK) -> DataFrame:
     """Sum of Euclidean distances from every point to every cluster: (id, cluster, other, total).
 
     The points are hashed into blocks of about ``block``; each pair of blocks meets once, in a task that returns the sums
-    per cluster of both sides, never pairs.  Distances are formed ``SILHOUETTE_CHUNK`` rows at a time, so memory per task
-    is constant; a point travels ``n / block + 1`` times.  Work is quadratic by definition of the measure.
+    per cluster of both sides, never pairs.  Blocks smaller than ``SILHOUETTE_BLOCK`` hold more points once there would be
+    over ``SILHOUETTE_BLOCKS`` of them, so neither the pairs of blocks nor a point's journeys grow with the square of a small
+    ``block``.  Distances are formed ``SILHOUETTE_CHUNK`` rows at a time, so memory per task is constant; a point travels
+    as often as there are blocks, and once more.  Work is quadratic by definition of the measure.
     """
     dims, chunk = list(columns), SILHOUETTE_CHUNK
     n = labelled.count()
-    blocks = max(1, -(-n // block))
+    blocks = silhouette_blocks(n, block)
     own = F.pmod(F.hash(id), F.lit(blocks))
     base = labelled.select(id, F.col("cluster").cast("int").alias("cluster"), *dims)
     kind = base.schema[id].dataType.simpleString()
