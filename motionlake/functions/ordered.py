@@ -53,9 +53,10 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> Da
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact median of ``value`` per ``keys`` as column ``median``.
 
-    A bounded quantile sketch brackets the median (its rank error is 1/20000, the bracket six times as wide),
-    equal values are folded into counts, and only the distinct values inside the bracket, less than a thousandth
-    of a large group, are ranked.
+    A bounded quantile sketch brackets the median (its rank error is 1/20000, the bracket six times as wide).
+    Values below the bracket are only counted and those above it left out, both where they lie; equal values are folded
+    into counts, and only the distinct values inside the bracket, less than a thousandth of a large group, are
+    shuffled and ranked.  The brackets, one row per group, are broadcast.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull())
@@ -63,16 +64,12 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx(value, [0.4997, 0.5003], 20000).alias("_q"),
     )
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    placed = counts.join(bracket, keys).withColumns(
-        {"_low": F.col("_q")[0], "_high": F.col("_q")[1]}
-    )
-    below = placed.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col(value) < F.col("_low"), F.col("_c"))), F.lit(0)).alias("_below")
-    )
-    middle = placed.where(F.col(value).between(F.col("_low"), F.col("_high"))).join(below, keys)
-    upto = F.col("_below") + F.sum("_c").over(W.partitionBy(*keys).orderBy(value))
-    ranked = middle.withColumn("_upto", upto).withColumns(
+    placed = present.join(F.broadcast(bracket), keys).where(F.col(value) <= F.col("_q")[1])
+    inside = F.when(F.col(value) >= F.col("_q")[0], F.col(value))
+    counts = placed.groupBy(*keys, "_n", inside.alias("_value")).agg(F.count(F.lit(1)).alias("_c"))
+    # the values below the bracket are the row without a value, which comes first
+    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("_value")))
+    ranked = counts.withColumn("_upto", upto).withColumns(
         {
             "_first": F.expr("(_n + 1) div 2"),
             "_second": F.expr("_n div 2 + 1"),
@@ -82,8 +79,8 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(
         (
             (
-                F.min(F.when(F.col("_upto") >= F.col("_first"), F.col(value)))
-                + F.min(F.when(F.col("_upto") >= F.col("_second"), F.col(value)))
+                F.min(F.when(F.col("_upto") >= F.col("_first"), F.col("_value")))
+                + F.min(F.when(F.col("_upto") >= F.col("_second"), F.col("_value")))
             )
             / 2.0
         ).alias("median")

@@ -338,7 +338,8 @@ def component_analysis(
 ) -> ComponentAnalysis:
     """Pivot, impute, drop constant metrics, standardise, and keep the components that beat chance."""
     spark = measures.sparkSession
-    matrix = complete_matrix(selected_means(measures, listed(metrics), entities)).varying()
+    names = listed(metrics)
+    matrix = complete_matrix(selected_means(measures, names, entities), metrics=names).varying()
     r = matrix.correlation()
     found = spectrum(matrix, r)
     thresholds = parallel_thresholds(spark, matrix.n, len(matrix.metrics))
@@ -423,7 +424,7 @@ def gated_analysis(
     n = kept.count()
     if (status := _gate_status(len(valid), n)) != "ok":
         return GatedAnalysis(status)
-    matrix = complete_matrix(means.where(F.col("metric").isin(valid)), kept)
+    matrix = complete_matrix(means.where(F.col("metric").isin(valid)), kept, valid)
     found = spectrum(matrix)
     size = min(3, len(valid), n)
     columns = [f"PC{j + 1}" for j in range(size)]

@@ -14,6 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folding import WIDEST, folded_means, unfolded
 from ..functions.ordered import grouped_median
 from ..session import settle
 from .profiles import entity_means
@@ -94,7 +95,11 @@ def selected_means(measures: DataFrame, metrics: Sequence[str], entities: Sequen
     chosen = members(measures, "metric", list(metrics))
     if entities is not None:
         chosen = members(chosen, "entity", entities)
-    return entity_means(chosen).where("value is not null")
+    names = list(dict.fromkeys(metrics))
+    if not 0 < len(names) <= WIDEST:
+        return entity_means(chosen).where("value is not null")
+    folded = folded_means(chosen.where("entity is not null"), ["entity"], names)
+    return unfolded(folded, ["entity"], names).where("value is not null")
 
 
 def entity_matrix(measures: DataFrame, metrics: Sequence[str], entities: Sequence | DataFrame | None = None) -> DataFrame:
@@ -103,17 +108,31 @@ def entity_matrix(measures: DataFrame, metrics: Sequence[str], entities: Sequenc
 
 
 def pivoted(means: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    return means.groupBy("entity").pivot("metric", list(metrics)).agg(F.first("value"))
+    """One row per entity.  Few metrics are grouped by entity alone, without a grouping by entity and metric before it."""
+    if not 0 < len(metrics) <= WIDEST:
+        return means.groupBy("entity").pivot("metric", list(metrics)).agg(F.first("value"))
+    cells = [F.first(F.when(F.col("metric") == m, F.col("value")), ignorenulls=True).alias(m) for m in metrics]
+    return means.groupBy("entity").agg(*cells)
 
 
-def complete_matrix(means: DataFrame, entities: DataFrame | None = None) -> Matrix:
+def complete_matrix(
+    means: DataFrame, entities: DataFrame | None = None, metrics: Sequence[str] | None = None
+) -> Matrix:
     """Matrix from (entity, metric, value) means with missing cells set to the metric's median.
 
     Mean and spread after imputation follow from the present values and the number of missing ones, so no
     aggregate over thousands of columns is needed.  ``entities`` may name entities beyond those in ``means``.
+    Of few ``metrics``, named by the caller, only the pivoted means are written down.
     """
-    means = settle(means)
-    present = means.select("entity").distinct()
+    if metrics is not None and 0 < len(set(metrics)) <= WIDEST:
+        asked = sorted(set(metrics))
+        wide = settle(pivoted(members(means, "metric", asked), asked))
+        cells = F.array(*[F.struct(F.lit(m).alias("metric"), quoted(m).alias("value")) for m in asked])
+        means = wide.select("entity", F.inline(cells)).where("value is not null")
+        present = wide.select("entity")
+    else:
+        wide, means = None, settle(means if metrics is None else members(means, "metric", list(metrics)))
+        present = means.select("entity").distinct()
     everyone = present if entities is None else entities.select("entity").union(present).distinct()
     n = everyone.count()
     per_metric = (
@@ -132,7 +151,8 @@ def complete_matrix(means: DataFrame, entities: DataFrame | None = None) -> Matr
     median = np.array([medians.get(m, 0.0) for m in names])
     grand = (k * mean + missing * median) / max(n, 1)
     squares = m2 + k * (mean - grand) ** 2 + missing * (median - grand) ** 2
-    wide = pivoted(means, names)
+    if wide is None:
+        wide = pivoted(means, names)
     if entities is not None:
         wide = everyone.join(wide, "entity", "left")
     rows = wide.select(

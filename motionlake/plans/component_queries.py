@@ -62,7 +62,7 @@ def _fitted(t: Tables) -> clusters.ComponentAnalysis:
 
 
 def _matrix(t: Tables) -> matrix.Matrix:
-    return matrix.complete_matrix(matrix.selected_means(t.measures_orders, _THREE)).varying()
+    return matrix.complete_matrix(matrix.selected_means(t.measures_orders, _THREE), metrics=_THREE).varying()
 
 
 # Bartlett's p for 3 degrees of freedom: the tail of the chi density by Simpson's rule over its root.

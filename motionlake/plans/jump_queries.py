@@ -294,11 +294,11 @@ _FILLED = """
 
 
 def _order_matrix(t: Tables) -> matrix.Matrix:
-    return matrix.complete_matrix(matrix.selected_means(t.measures_orders, METRIC_NAMES))
+    return matrix.complete_matrix(matrix.selected_means(t.measures_orders, METRIC_NAMES), metrics=METRIC_NAMES)
 
 
 def _supplier_matrix(t: Tables) -> matrix.Matrix:
-    return matrix.complete_matrix(matrix.selected_means(t.measures, METRIC_NAMES))
+    return matrix.complete_matrix(matrix.selected_means(t.measures, METRIC_NAMES), metrics=METRIC_NAMES)
 
 
 @query("d02_imputed_matrix", sql=f"with {_FILLED} select * from filled", value=4)
