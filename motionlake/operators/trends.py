@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
+from ..functions.folding import few_metrics, folded_means, has, unfolded, value
 from ..functions.numeric import bind, half_even, percent
 from ..functions.ordered import with_position
 from ..functions.tails import student_t_two_sided
@@ -14,13 +16,23 @@ from ..functions.tails import student_t_two_sided
 SERIES = ["entity", "metric"]
 
 
-def points_over_time(measures: DataFrame) -> DataFrame:
-    """Mean value per entity, metric and exact timestamp."""
-    return (
-        measures.where("entity is not null and metric is not null and test_ts is not null")
-        .groupBy(*SERIES, "test_ts")
-        .agg(F.avg("value").alias("value"))
-    )
+def _dated(measures: DataFrame) -> DataFrame:
+    return measures.where("entity is not null and metric is not null and test_ts is not null")
+
+
+def points_over_time(measures: DataFrame, gathered: bool = False) -> DataFrame:
+    """Mean value per entity, metric and exact timestamp.
+
+    Few metrics travel together, one row per entity and timestamp; ``gathered`` then brings an entity's points together,
+    still folded, for those who rank them next.
+    """
+    names = few_metrics(measures)
+    if names is None:
+        return _dated(measures).groupBy(*SERIES, "test_ts").agg(F.avg("value").alias("value"))
+    folded = folded_means(_dated(measures), ["entity", "test_ts"], names)
+    if gathered:
+        folded = folded.repartition("entity")
+    return unfolded(folded, ["entity", "test_ts"], names).select(*SERIES, "test_ts", "value")
 
 
 def improvement(first: Column, last: Column) -> Column:
@@ -48,12 +60,14 @@ def improvement_report(measures: DataFrame) -> DataFrame:
     """First-to-last improvement, trend significance and half-split effect size per entity and metric.
 
     Points without a value count as points.  A series that has one gets no p-value (``ns``) and no effect size.
+    Dates bound an entity's points, so they are gathered; points at timestamps stay spread (see ``with_position``).
     """
+    points = points_over_time(measures, gathered=isinstance(measures.schema["test_ts"].dataType, DateType))
     half = F.floor(F.col("n_points") / 2)
     early = F.when(F.col("pos") < half, F.col("value"))
     late = F.when(F.col("pos") >= half, F.col("value"))
     report = (
-        with_position(points_over_time(measures), SERIES, "test_ts", "value")
+        with_position(points, SERIES, "test_ts", "value")
         .groupBy(*SERIES)
         .agg(
             F.min_by("value", "pos").alias("first_value"),
@@ -90,18 +104,37 @@ def improvement_report(measures: DataFrame) -> DataFrame:
 
 
 def first_to_last(measures: DataFrame) -> DataFrame:
-    """Improvement only: no ranking of points, one pass of mergeable aggregates."""
-    return (
-        points_over_time(measures)
-        .groupBy(*SERIES)
-        .agg(
-            F.min_by("value", "test_ts").alias("first_value"),
-            F.max_by("value", "test_ts").alias("last_value"),
-            F.count(F.lit(1)).alias("data_points"),
+    """Improvement only: no ranking of points, one pass of mergeable aggregates.
+
+    Few metrics travel together, one row per entity and timestamp and then one per entity.
+    """
+    names = few_metrics(measures)
+    if names is None:
+        ends = (
+            points_over_time(measures)
+            .groupBy(*SERIES)
+            .agg(
+                F.min_by("value", "test_ts").alias("first_value"),
+                F.max_by("value", "test_ts").alias("last_value"),
+                F.count(F.lit(1)).alias("data_points"),
+            )
         )
-        .where("data_points >= 2")
-        .withColumn("improvement_pct", improvement(F.col("first_value"), F.col("last_value")))
-    )
+    else:
+        ends = _folded_ends(folded_means(_dated(measures), ["entity", "test_ts"], names), names)
+    return ends.where("data_points >= 2").withColumn("improvement_pct", improvement(F.col("first_value"), F.col("last_value")))
+
+
+def _folded_ends(folded: DataFrame, names: Sequence[str]) -> DataFrame:
+    """First value, last value and number of points of every series of folded means."""
+    columns = []
+    for i in range(len(names)):
+        ts = F.when(has(i), F.col("test_ts"))
+        columns += [F.min_by(value(i), ts).alias(f"_a{i}"), F.max_by(value(i), ts).alias(f"_z{i}"), F.count(ts).alias(f"_n{i}")]
+    parts = [
+        F.struct(F.lit(m).alias("metric"), F.col(f"_a{i}").alias("first_value"), F.col(f"_z{i}").alias("last_value"), F.col(f"_n{i}").alias("data_points"))
+        for i, m in enumerate(names)
+    ]
+    return folded.groupBy("entity").agg(*columns).select("entity", F.inline(F.array(*parts)))
 
 
 def entity_improvement(report: DataFrame) -> DataFrame:
