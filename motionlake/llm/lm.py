@@ -1,10 +1,11 @@
 """Language-model scores: stupid backoff over n-grams of words, computed relationally.
 
 Every word and every n-gram up to ``ORDER`` words of all documents is counted; nothing is merged or left out.  Documents are
-dealt to blocks of about ``BLOCK`` bytes.  A block explodes its texts into rows ``key, block, n``, one for each different
-n-gram.  The rows are summed by key into a table partitioned by hash and joined to it; a block gets back the counts of
-n-grams that other blocks have too, since it knows the others itself.  With them its texts are scored and scores are summed
-per document.  A frequent n-gram sends one row per block, whatever the number of documents and occurrences in it.
+gathered in blocks of about ``BLOCK`` bytes.  A block lists its different n-grams by their 64-bit keys and sends them, sorted
+and packed, to parts of the range of keys.  A part adds the counts of all blocks up and answers each of them with what the
+other blocks have, in the order it was asked, so that no key travels back.  With the answers a block scores its texts, and
+scores are summed per document.  A frequent n-gram is sent once per block, whatever the number of documents and
+occurrences in it.  Texts and numbers are compressed before they travel.
 
 A word scores by the longest context that others have seen: an n-gram's count leaves out the occurrences in the document
 scored, and an n-gram nobody else has backs off to ``BACKOFF`` times the score of the shorter one; at last to the word's share
@@ -13,26 +14,33 @@ of all words.  Log scores are whole millionths of log10, so sums don't depend on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WORD, WordHashes, field
+from .common import WORD, WordHashes, field, id_type
 
 #: Words of the longest n-gram.
 ORDER = 3
 BACKOFF = 0.4
 #: Log scores are summed as whole numbers of this part of one.
 UNIT = 1e6
-#: Bytes of text of a block, on average.
-BLOCK = 4_000_000
+#: Bytes of text of a block; a part of the keys takes the n-grams of twice as much.
+BLOCK = 8_000_000
 #: The n-gram of no words, which occurs as often as there are words.
 EMPTY = 0
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Flipped, signed and unsigned numbers have one order.
+_SIGN = np.uint64(1 << 63)
 
 
 def _longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -96,54 +104,150 @@ class Block:
         return sums, off
 
 
-def _explode(order: int):
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers with their bytes of equal place side by side, compressed."""
+    return pa.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 8 * size, "zstd", asbytes=True), np.uint8)
+    return planes.reshape(8, size).T.copy().view("<u8").reshape(size)
+
+
+def _texts(rows: pa.Table) -> pa.Table:
+    """``id, text`` of one block."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["rows"]])
+
+
+def _asked(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a block, ``EMPTY`` too, as unsigned numbers in rising order, and their counts in it."""
+    at = np.searchsorted(block.keys, EMPTY)
+    keys = np.insert(block.keys, at, EMPTY).view(np.uint64) ^ _SIGN
+    return keys, np.insert(block.counts, at, block.lengths.sum())
+
+
+_GRAMS = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_OTHERS = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("others", pa.binary())])
+
+
+def _explode(order: int, parts: int):
     def run(rows: pa.Table) -> pa.Table:
-        block = Block(rows["text"].to_pylist(), order)
-        keys = np.append(block.keys, EMPTY)
-        counts = np.append(block.counts, block.lengths.sum())
-        number = np.full(len(keys), rows["block"][0].as_py())
-        names = [pa.field(c, pa.int64(), nullable=False) for c in ("key", "block", "n")]
-        return pa.Table.from_arrays([pa.array(keys), pa.array(number), pa.array(counts)], schema=pa.schema(names))
+        keys, counts = _asked(Block(_texts(rows)["text"].to_pylist(), order))
+        part = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        stops = np.append(starts[1:], len(keys))
+        number = rows["block"][0].as_py()
+        columns = zip(*[
+            (int(part[a]), number, int(b - a), packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(counts[a:b]))
+            for a, b in zip(starts, stops, strict=True)
+        ], strict=True)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _GRAMS, strict=True)], schema=_GRAMS)
 
     return run
 
 
+def _unpacked_grams(rows: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Sizes of packed rows, their keys and their counts."""
+    sizes = rows["size"].to_pylist()
+    keys = [np.cumsum(unpacked(x.as_py(), n), dtype=np.uint64) for x, n in zip(rows["keys"], sizes, strict=True)]
+    counts = [unpacked(x.as_py(), n) for x, n in zip(rows["counts"], sizes, strict=True)]
+    return sizes, np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    sizes, keys, counts = _unpacked_grams(rows)
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+    others = np.empty(len(keys), np.int64)
+    others[order] = np.repeat(np.add.reduceat(counts[order], heads), np.diff(heads, append=len(keys)))
+    others -= counts
+    blobs = [packed(x) for x in np.split(others, np.cumsum(sizes)[:-1])]
+    return pa.Table.from_arrays([rows["part"], rows["block"], rows["size"], pa.chunked_array([pa.array(blobs, pa.binary())])], schema=_OTHERS)
+
+
+def _listed(rows: pa.Table) -> pa.Table:
+    sizes, keys, counts = _unpacked_grams(rows)
+    names = [pa.field(c, pa.int64(), nullable=False) for c in ("key", "block", "n")]
+    columns = (keys ^ _SIGN).view(np.int64), np.repeat(rows["block"].to_numpy(), sizes), counts
+    return pa.Table.from_arrays([pa.array(c) for c in columns], schema=pa.schema(names))
+
+
 def _score(order: int, out: pa.Schema):
-    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(rows["text"].to_pylist(), order)
-        totals, words = block.counts.copy(), int(block.lengths.sum())
-        keys, counts = replies["key"].to_numpy(), replies["total"].to_numpy()
-        words = int(counts[keys == EMPTY].max(initial=words))
-        keys, counts = keys[keys != EMPTY], counts[keys != EMPTY]
-        totals[np.searchsorted(block.keys, keys)] = counts
-        sums, backed = block.scores(totals, words)
-        return pa.Table.from_arrays([rows["id"].combine_chunks(), pa.array(block.lengths), pa.array(sums), pa.array(backed)], schema=out)
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows or not answers.num_rows:
+            raise ValueError("the documents came in other blocks when they were read again")
+        texts, answers = _texts(rows), answers.sort_by("part")
+        block = Block(texts["text"].to_pylist(), order)
+        others = [unpacked(x.as_py(), n) for x, n in zip(answers["others"], answers["size"].to_pylist(), strict=True)]
+        others = np.concatenate(others).astype(np.int64)
+        at = int(np.searchsorted(block.keys, EMPTY))
+        words = int(block.lengths.sum() + others[at])
+        sums, backed = block.scores(block.counts + np.delete(others, at), words)
+        return pa.Table.from_arrays([texts["id"].combine_chunks(), pa.array(block.lengths), pa.array(sums), pa.array(backed)], schema=out)
 
     return run
 
 
+def gram_parts(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+    """``part, block, size, keys, counts``: the different n-grams of each block, packed by parts of the range of keys."""
+    return blocks.groupBy("block").applyInArrow(_explode(order, parts), "part long, block long, size long, keys binary, counts binary")
+
+
 def gram_rows(blocks: DataFrame, order: int = ORDER) -> DataFrame:
     """``key, block, n``: the different n-grams of each block; ``EMPTY`` counts its words."""
-    return blocks.groupBy("block").applyInArrow(_explode(order), "key long not null, block long not null, n long not null")
+    return gram_parts(blocks, order, 1).groupBy("block").applyInArrow(_listed, "key long not null, block long not null, n long not null")
 
 
 def replies(grams: DataFrame) -> DataFrame:
-    """``key, block, total``: for each block its n-grams that other blocks have too, with their count in all of them.
+    """``part, block, size, others``: how often other blocks have each n-gram of a packed row, in its order.
 
-    Rows are dealt by key once, for the sum and the join; both read all their columns, so that the exchange is the same.
-    A key has at most one row per block and none is held: the sum and the join stream them.
+    Keys are spread evenly and a block has a key once, so a part's size is bounded by that of the texts per part.
     """
-    grams = grams.repartition("key")
-    counts = grams.groupBy("key").agg(F.sum("n").alias("total"), F.min("block").alias("a"), F.max("block").alias("z")).where("a < z")
-    return grams.join(counts.select("key", "total").hint("merge"), "key").where("total > n").select("key", "block", "total")
+    return grams.groupBy("part").applyInArrow(_answer, "part long, block long, size long, others binary")
 
 
 def in_blocks(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
-    """``id, text, block``.  Equal rows of different input partitions are in different blocks, so copies don't fill one."""
+    """``block, rows``: rows that follow each other in a partition, of ``size`` bytes of text or one row more, compressed.
+
+    A block is named by its content and place, so if a task is repeated and meets other rows, the names tell.
+    """
     rows = docs.select(field(docs, id, "id"), field(docs, text, "text"))
-    held = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    number = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(max(1, -(-held // size))))
-    return rows.select("id", "text", number.cast("long").alias("block"))
+    schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bytes_, blocks = [], 0, 0
+
+        def given() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            blob = sink.getvalue().to_pybytes()
+            name = xxhash.xxh3_64_intdigest(blob, (TaskContext.get().partitionId() << 32) + blocks) - (1 << 63)
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([blob], pa.binary())], schema=schema)
+
+        for batch in batches:
+            # a row counts one byte more than its text, so that empty ones fill blocks too
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 1)
+            start = 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                stop = min(batch.num_rows, int(np.searchsorted(ends, before + size - bytes_)) + 1)
+                held.append(batch.slice(start, stop - start))
+                bytes_ += int(ends[stop - 1]) - before
+                start = stop
+                if bytes_ >= size:
+                    yield given()
+                    held, bytes_, blocks = [], 0, blocks + 1
+        if held:
+            yield given()
+
+    return rows.mapInArrow(run, "block long, rows binary")
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """Bytes of all texts, and one for each row."""
+    return docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(field(docs, text, "text")), F.lit(0)) + 1), F.lit(0))).first()[0]
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, block_bytes: int = BLOCK) -> DataFrame:
@@ -157,8 +261,9 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     import pyspark.sql.pandas.types as arrow_types
 
     blocks = in_blocks(docs, id, text, block_bytes)
-    out = StructType([StructField("id", blocks.schema["id"].dataType)] + [StructField(c, LongType()) for c in ("n_words", "sum", "backed")])
-    answered = replies(gram_rows(blocks, order)).groupBy("block")
+    parts = max(1, -(-text_bytes(docs, text) // (2 * block_bytes)))
+    out = StructType([StructField("id", id_type(docs, id))] + [StructField(c, LongType()) for c in ("n_words", "sum", "backed")])
+    answered = replies(gram_parts(blocks, order, parts)).groupBy("block")
     scored = blocks.groupBy("block").cogroup(answered).applyInArrow(_score(order, arrow_types.to_arrow_schema(out)), out)
     summed = scored.groupBy("id").agg(F.sum("n_words").alias("n_words"), F.sum("backed").alias("n_backed_off"), F.sum("sum").alias("total"))
     total = F.col("total") / F.lit(UNIT)

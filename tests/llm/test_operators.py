@@ -400,6 +400,28 @@ def test_lm_counts_every_word(documents, spark):
     assert keys == len({w for _, t, *_ in rows for w in WORD.findall(t or "")})
 
 
+def test_lm_travels_packed(documents):
+    """N-grams take less than 7 bytes on the way to their parts, answers less than 1, texts less than their half."""
+    r = random.Random(5)
+    rows = [(i, prose(400, r) if i % 3 else None, "en", "x") for i in range(400)]
+    docs = documents(rows).repartition(3)
+    blocks = lm.in_blocks(docs, "doc_id", "text", 100_000).cache()
+    texts = lm.text_bytes(docs, "text")
+    assert blocks.count() > 3 and blocks.selectExpr("sum(length(rows))").first()[0] < texts / 2
+    grams = lm.gram_parts(blocks, 3, 5).cache()
+    size, sent = grams.selectExpr("sum(size)", "sum(length(keys) + length(counts))").first()
+    assert grams.select("part").distinct().count() == 5 and sent < 7 * size
+    assert lm.replies(grams).selectExpr("sum(length(others))").first()[0] < size
+    counts, known = defaultdict(int), lm.gram_rows(blocks, 3).collect()
+    assert len(known) == size == len({(x.key, x.block) for x in known})
+    for x in known:
+        counts[x.key] += x.n
+    words = [WORD.findall(t or "") for _, t, *_ in rows]
+    want = Counter(tuple(w[i : i + k]) for w in words for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert sorted(counts.values()) == sorted([*want.values(), sum(map(len, words))])
+    assert (lm.unpacked(lm.packed(np.array([0, 7, 2**63])), 3) == [0, 7, 2**63]).all()
+
+
 def test_language(spark, documents):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = language.held_out(docs["doc_id"])
