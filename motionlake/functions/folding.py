@@ -43,3 +43,25 @@ def unfolded(folded: DataFrame, keys: Sequence[str], names: Sequence[str]) -> Da
     """``keys, metric, value``: the folded means as one row for each metric that was measured."""
     parts = [F.struct(F.lit(name).alias("metric"), value(i).alias("value"), has(i).alias("_there")) for i, name in enumerate(names)]
     return folded.select(*keys, F.inline(F.array(*parts))).where("_there").select(*keys, "metric", "value")
+
+
+def metric_totals(measures: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``entity, metric, results, total, dates``: number and sum of the values of each of ``names``, and its different days.
+
+    Rows are folded by entity and month, the days of each metric as bits of a number, so what travels is neither a row per
+    metric nor one per day.  Metrics without any value are left out.
+    """
+
+    def of(name: str, column: str) -> Column:
+        return F.when(F.col("metric") == name, F.col(column))
+
+    days = measures.select("entity", "metric", "value", F.to_date("test_ts").alias("_day"))
+    marked = days.select("entity", "metric", "value", F.trunc("_day", "month").alias("_month"), F.expr("shiftleft(1, day(_day) - 1)").alias("_bit"))
+    monthly, sums, parts = [], [], []
+    for i, name in enumerate(names):
+        monthly += [F.count(of(name, "value")).alias(f"_n{i}"), F.sum(of(name, "value")).alias(f"_s{i}"), F.bit_or(of(name, "_bit")).alias(f"_d{i}")]
+        sums += [F.sum(f"_n{i}").alias(f"_n{i}"), F.sum(f"_s{i}").alias(f"_s{i}"), F.sum(F.coalesce(F.bit_count(f"_d{i}"), F.lit(0))).alias(f"_d{i}")]
+        columns = {"results": f"_n{i}", "total": f"_s{i}", "dates": f"_d{i}"}
+        parts.append(F.struct(F.lit(name).alias("metric"), *[F.col(c).alias(alias) for alias, c in columns.items()]))
+    totals = marked.groupBy("entity", "_month").agg(*monthly).groupBy("entity").agg(*sums)
+    return totals.select("entity", F.inline(F.array(*parts))).where("results > 0")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.folding import metric_totals
 from ..operators import quality, sessions
 from ..session import scratch_path
 from ..sources import cleaning, files
 from .registry import query
-from .views import METRICS, Tables
+from .views import METRIC_NAMES, METRICS, Tables
+
+#: Rows of a compressed file, which one task reads.
+CSV_ROWS = 1_000_000
 
 _WIDE_SQL = " union all ".join(
     f"""select l_suppkey as athlete_name, l_returnflag as test_type, l_shipdate as test_date,
@@ -94,17 +98,13 @@ def _(t: Tables):
 def _(t: Tables):
     """A folder with files of either layout: tests of type R as one row per value, the others as one row per test."""
     folder = scratch_path(t.spark, "jumps-csv")
-    files.write_csv(t.tests_wide.where("Type <> 'R'"), f"{folder}/wide")
+    files.write_csv(t.tests_wide.where("Type <> 'R'"), f"{folder}/wide", "gzip", CSV_ROWS)
     long = t.measures.where("test_type = 'R' and value is not null").select(
         F.col("entity").alias("ATHLETE_NAME"), F.col("test_ts").alias("TEST_DATE"), F.col("metric").alias("TARGET_VARIABLE"), F.col("value").alias("RESULT")
     )
-    files.write_csv(long, f"{folder}/long")
-    return (
-        files.read_measures(t.spark, f"{folder}/*")
-        .groupBy(F.col("entity").cast("bigint").alias("entity"), "metric")
-        .agg(F.count("value").alias("results"), F.sum("value").alias("total"), F.countDistinct(F.to_date("test_ts")).alias("dates"))
-        .where("results > 0")
-    )
+    files.write_csv(long, f"{folder}/long", "gzip", CSV_ROWS)
+    found = files.read_measures(t.spark, f"{folder}/*")
+    return metric_totals(found.withColumn("entity", F.col("entity").cast("bigint")), METRIC_NAMES)
 
 
 @query(

@@ -155,9 +155,13 @@ def read_sprints(spark: SparkSession, path: str | Sequence[str], multi_line: boo
     return united([clean_sprints(raw) for raw in tables])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV folder with headers; partitions are written in parallel."""
-    df.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
+def write_csv(df: DataFrame, path: str, compression: str = "none", rows_per_file: int = 0) -> None:
+    """One CSV folder with headers; partitions are written in parallel.
+
+    Compressed files can't be split when they are read, so ``rows_per_file`` (0: no bound) should bound them.
+    """
+    writer = df.write.option("header", True).option("escape", '"').option("compression", compression)
+    writer.option("maxRecordsPerFile", rows_per_file).mode("errorifexists").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

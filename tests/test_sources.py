@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from motionlake.functions import rules
+from motionlake.functions import folding, rules
 from motionlake.sources import cleaning, files, layout
 
 
@@ -237,3 +238,26 @@ def test_a_time_is_parsed_once(spark):
     plan = files.clean_sprints(raw).select("client", "session_ts", "session_date", "rep_ts")._jdf.queryExecution().optimizedPlan().toString()
     # the device's parser, the written formats in one pattern, and the cast
     assert plan.count("gettimestamp(") == 2 and plan.count("as timestamp_ntz)") == 3, plan
+
+
+def test_metric_totals_fold_days_and_metrics(spark):
+    """Totals are those of a plain grouping, and neither metrics nor days are keys of an exchange."""
+    day = [datetime(2024, 1, 31, 23), datetime(2024, 1, 31, 1), datetime(2024, 2, 1), datetime(2023, 2, 1), None]
+    rows = [(e, m, v, d) for e in (1, 2, None) for m in ("a", "b", "c", "other") for v in (1.5, None, -3.0) for d in day if (e, m) != (2, "c")]
+    rows += [(3, "a", None, day[0])]
+    df = spark.createDataFrame(rows, "entity long, metric string, value double, test_ts timestamp_ntz")
+    plain = df.where("metric <> 'other'").groupBy("entity", "metric").agg(
+        F.count("value").alias("results"), F.sum("value").alias("total"), F.countDistinct(F.to_date("test_ts")).alias("dates")
+    )
+    got = folding.metric_totals(df, ["a", "b", "c"])
+    assert got.columns == plain.columns and set(got.collect()) == set(plain.where("results > 0").collect()) and got.count() == 8
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert keys and not any("metric" in k or "_day" in k for k in keys)
+
+
+def test_csv_in_compressed_files_of_few_rows(spark, tmp_path):
+    df = spark.range(0, 25, 1, 2).selectExpr("cast(id as string) as id", "'a \"b\", c' as t")
+    files.write_csv(df, str(tmp_path / "out"), "gzip", 5)
+    assert len(list((tmp_path / "out").glob("*.csv.gz"))) == 6
+    assert sorted(files.read_text_table(spark, str(tmp_path / "out")).collect()) == sorted(df.collect())
