@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,44 @@ def test_collocation_scores_beyond_64_bits(spark):
     assert (row.a, row.l, row.r, row.score) == (big, big + 1, 2 * big, 2_000_000 * big // (3 * big + 1))
 
 
+def test_collocation_entries_cost_the_same_in_many_buckets(spark, monkeypatch):
+    """Buckets grow in number with the input; an entry must not carry more for it."""
+    r = random.Random(5)
+    rows = [("en", " ".join(f"w{r.randint(0, 400)}" for _ in range(30))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    kept, real = [], collocations.frequent
+
+    def frequent(packed, least):
+        kept.append([bytes(x.entries) for x in packed.select("entries").collect()])
+        return real(packed, least)
+
+    monkeypatch.setattr(collocations, "frequent", frequent)
+
+    def size(bucket):
+        kept.clear()
+        found = sorted(map(tuple, collocations.collocations(df, least=2, bucket=bucket).collect()))
+        return [sum(len(pa.compress(b"".join(blobs), "lz4", asbytes=True)) for blobs in kept), max(map(len, kept)), found]
+
+    few, one, whole = size(1 << 21)
+    many, parts, found = size(300)
+    assert (one, parts) == (1, 60) and found == whole and len(found) > 100
+    assert many < 1.5 * few
+
+
+def test_collocation_words_are_found_in_later_rounds(spark):
+    """All occurrences in one row, or in copies, and rounds that see few rows or none: every phrase is found."""
+    rows = [("en", "a b c. " * 40), *[("de", f"x y {i % 3}") for i in range(90)], (None, "one two")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    packed = [collocations.frequent(collocations.entries(df.na.fill("und"), n, 1, None, 100, 64), 30) for n in (1, 2, 3)]
+    found = settle(packed[0].union(packed[1]).union(packed[2]))
+    for rounds in ((1,), (1 << 40, 1), (8, 2, 1)):
+        got = {(x.lang, " ".join(x.words)): x.f for x in collocations.phrases_of(df.na.fill("und"), found, 3, rounds=rounds).collect()}
+        numbers = {("de", p.format(i)): 30 for p in ("{}", "y {}", "x y {}") for i in range(3)}
+        assert got == numbers | {("en", p): 40 for p in ("a", "b", "c", "a b", "b c", "a b c")} | {("de", p): 90 for p in ("x", "y", "x y")}
+    with pytest.raises(ValueError, match="not found again"):
+        collocations.phrases_of(df.where("lang = 'de'"), found, 3)
+
+
 # --- lines
 
 
