@@ -202,6 +202,23 @@ def test_quality_counts_documents_at_any_size(documents):
     assert not any(got[20_000 + i].n_removed for i in range(21, 4_500))
 
 
+def test_quality_joins_without_bloom_filters(documents, spark, tmp_path):
+    """Runtime filters of a megabyte for each key would go through the driver into the closures of the last job."""
+    r = random.Random(41)
+    line = prose(9, r)
+    documents([(i, f"{prose(60, r)} n{i}\n{line}", "en", "host") for i in range(25)]).write.parquet(path := f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else the few rows are broadcast
+    try:
+        cleaned = quality.clean(spark.read.parquet(path))
+        plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "might_contain" not in plan
+    texts = {x.doc_id: x.text for x in cleaned.collect()}
+    assert len(texts) == 25 and [i for i, t in texts.items() if line in t] == [0]
+
+
 def test_quality_holders_take_few_rounds(spark, monkeypatch):
     """A chain in which each document holds a line and the next one: rounds don't follow its length."""
     n = 150
